@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,8 +79,16 @@ def clean_text(text: str | Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a non-null text; empty array without any."""
-    trimmed = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE}+"))
+    return let(F.btrim(text, F.lit(" \t\n\x0b\f\r")), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, f"{SPACE}+")))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `value`, which is evaluated once.
+
+    Spark merges stacked projections, so that a column used many times, above
+    all inside lambdas, would be computed again at each use; a lambda's variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import clean_text, table
+from tidemark.llm.quality import label_quality
 from tidemark.llm.sharding import histogram_shards
 
 
@@ -18,9 +19,15 @@ def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = label_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_histogram_sort": op5_histogram_sort,
+        "op9_weak_supervision": op9_weak_supervision,
     }
 
 
