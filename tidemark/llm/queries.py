@@ -10,9 +10,20 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import clean_text, table
 from tidemark.llm.decontamination import contaminated
 from tidemark.llm.line_dedup import MIN_PAGES, RATIO, drop_boilerplate
+from tidemark.llm.packing import retrieval_packing
 from tidemark.llm.quality import label_quality
 from tidemark.llm.sharding import histogram_shards
 from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.simple8b import read_tokens, write_tokens
+
+
+def op1_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = retrieval_packing(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +71,8 @@ def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simple8b": op1_simple8b,
+        "op3_bm25_packing": op3_bm25_packing,
         "op5_histogram_sort": op5_histogram_sort,
         "op6_spaced_seeds": op6_spaced_seeds,
         "op7_simhash_bk_trees": op7_simhash_bk_trees,
