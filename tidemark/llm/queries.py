@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.bwt_dedup import drop_repeated_bytes
 from tidemark.llm.common import clean_text, table
 from tidemark.llm.decontamination import contaminated
 from tidemark.llm.line_dedup import MIN_PAGES, RATIO, drop_boilerplate
@@ -15,17 +16,28 @@ from tidemark.llm.quality import label_quality
 from tidemark.llm.sharding import histogram_shards
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.simple8b import read_tokens, write_tokens
+from tidemark.llm.suffix_tree_dedup import drop_repeated_words
 
 
 def op1_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op2_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = retrieval_packing(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeated_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return histogram_shards(docs).select(
@@ -72,7 +84,9 @@ def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simple8b": op1_simple8b,
+        "op2_bwt_dedup": op2_bwt_dedup,
         "op3_bm25_packing": op3_bm25_packing,
+        "op4_suffix_tree_dedup": op4_suffix_tree_dedup,
         "op5_histogram_sort": op5_histogram_sort,
         "op6_spaced_seeds": op6_spaced_seeds,
         "op7_simhash_bk_trees": op7_simhash_bk_trees,
