@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.bwt_dedup import drop_repeated_bytes
 from tidemark.llm.common import clean_text, table
 from tidemark.llm.decontamination import contaminated
+from tidemark.llm.html_extract import extract_main_text
 from tidemark.llm.line_dedup import MIN_PAGES, RATIO, drop_boilerplate
 from tidemark.llm.packing import retrieval_packing
 from tidemark.llm.quality import label_quality
@@ -81,6 +82,11 @@ def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op10_dom_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simple8b": op1_simple8b,
@@ -92,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_simhash_bk_trees": op7_simhash_bk_trees,
         "op8_site_lines": op8_site_lines,
         "op9_weak_supervision": op9_weak_supervision,
+        "op10_dom_boosting": op10_dom_boosting,
     }
 
 
