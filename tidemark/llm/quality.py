@@ -27,7 +27,7 @@ FEW = 24
 
 GOOD, BAD, ABSTAIN = 1, -1, 0
 #: Rule: (feature, bad if above); else it abstains.
-ABOVE = {"symbols": ("f_symbols", 0.10), "repeats": ("f_repeats", 0.30), "dup_lines": ("f_dup_lines", 0.30), "capitals": ("f_capitals", 0.40), "long_words": ("f_word_len", 12.0)}
+ABOVE = {"symbols": ("f_symbols", 0.10), "symbol_words": ("f_symbol_words", 0.50), "repeats": ("f_repeats", 0.30), "dup_lines": ("f_dup_lines", 0.30), "capitals": ("f_capitals", 0.40), "long_words": ("f_word_len", 12.0)}
 #: Rule: (feature, bad if below); else it abstains.
 BELOW = {"length": ("n_words", float(MIN_WORDS)), "short_words": ("f_word_len", 2.0)}
 #: Rule: (feature, bad if below, good if at least); between the two it abstains.
@@ -75,6 +75,7 @@ def _features(text: Column, w: Column) -> Column:
             dup.cast("long").alias("n_dup_lines"),
             repeated.cast("long").alias("n_repeat_words"),
             (symbols / letters).alias("f_symbols"),
+            (symbols / some).alias("f_symbol_words"),
             (repeated / some).alias("f_repeats"),
             (dup / F.greatest(F.size(lines), F.lit(1))).alias("f_dup_lines"),
             (F.regexp_count(joined, F.lit(r"\p{Lu}")) / letters).alias("f_capitals"),
@@ -110,7 +111,7 @@ def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 3
     deterministic; without patterns the prior and even votes come back.
     """
     n_rules = len(patterns[0][0]) if patterns else 0
-    posterior = [{0: 0.95, 1: 0.3}.get(sum(v == BAD for v in votes_), 0.05) for votes_, _ in patterns]
+    posterior = [{0: 0.95, 1: 0.2}.get(sum(v == BAD for v in votes_), 0.05) for votes_, _ in patterns]
     p_good, table = prior, [{v: (1 / 3, 1 / 3) for v in (GOOD, BAD, ABSTAIN)} for _ in range(n_rules)]
     total = sum(c for _, c in patterns)
     for _ in range(rounds if patterns else 0):
