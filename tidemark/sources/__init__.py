@@ -1 +1 @@
-
+"""Binary frames and segments, stored pairs, configuration files."""

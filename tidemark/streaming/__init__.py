@@ -1 +1 @@
-
+"""Structured Streaming: the collector and the keyed sampler."""
