@@ -6,8 +6,9 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 SPACE = r"[ \t-\r]"
 
 
+#: Shuffle files of a finished query go at once; held while stored() writes, as nothing else reads them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,7 +51,12 @@ def stored(df: DataFrame, codec: str = "lz4_raw") -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.option("compression", codec).parquet(path)
+    had = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if had is None else spark.conf.set(CLEANUP, had)
 
     def clean() -> None:
         with contextlib.suppress(Exception):
@@ -91,9 +101,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """`name`, or with underscores before it until no column of `df` has it."""
-    have = {c.lower() for c in df.columns}
-    while name.lower() in have:
-        name = f"_{name}"
-    return name
+def rows_of(batch: pa.RecordBatch, columns: int, step: int = 256) -> Iterator[tuple]:
+    """Rows of an Arrow batch as tuples of Python values, a few at a time: texts of a whole batch would stand in memory twice."""
+    for at in range(0, batch.num_rows, step):
+        part = batch.slice(at, step)
+        yield from zip(*(part.column(c).to_pylist() for c in range(columns)), strict=True)

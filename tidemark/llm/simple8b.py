@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import clean_text, stored
+from tidemark.llm.common import clean_text, rows_of, stored
 from tidemark.llm.tokens import END_ID, default_path, encoder
 
 #: Fixed values: (ids, bits) of selectors 1 to 15.
@@ -30,7 +30,7 @@ WIDTHS = np.array([0] + [b for _, b in SELECTORS])
 BLOCK = 4096
 MAGIC = b"S8B1"
 NULL_ID = -(1 << 63)
-CHUNK_IDS = 1 << 17
+CHUNK_IDS = 1 << 19
 
 
 def _window_max(x: np.ndarray, n: int) -> np.ndarray:
@@ -43,10 +43,37 @@ def _window_max(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+_COUNTS = COUNTS.astype(np.uint8)
+#: Ids from each place to its block's end, as far as a word can reach.
+_ROOM = np.minimum(np.arange(BLOCK, 0, -1), 255).astype(np.uint8)
+
+
+def _word_starts(step: np.ndarray) -> np.ndarray:
+    """Places that words start at, going by `step` through all blocks side by side."""
+    n = len(step)
+    at = np.arange(0, n, BLOCK)
+    ends = np.minimum(at + BLOCK, n)
+    found = []
+    while len(at):
+        found.append(at)
+        at = at + step[at]
+        more = at < ends
+        if not more.all():
+            at, ends = at[more], ends[more]
+    return np.sort(np.concatenate(found))
+
+
+_LENGTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _bit_length(ids: np.ndarray) -> np.ndarray:
     """Bits of each id; 61 for those of more than 60."""
-    if int(ids.max()) < 1 << 52:
+    top = int(ids.max())
+    if top < 1 << 16:
+        return _LENGTHS[ids]
+    if top < 1 << 52:
         return np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+    ids = ids.astype(np.uint64)
     high = np.frexp((ids >> np.uint64(32)).astype(np.float64))[1]
     low = np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
     return np.minimum(np.where(high > 0, high + 32, low), 61).astype(np.uint8)
@@ -54,13 +81,12 @@ def _bit_length(ids: np.ndarray) -> np.ndarray:
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, first word of each block) of unsigned ids."""
-    ids = np.asarray(ids, np.uint64)
+    ids = np.asarray(ids)
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     wide = _bit_length(ids)
     best = np.zeros(n, np.uint8)  # selector; 0: escape
-    room = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n))
     run, length = wide, 1
     for s in sorted(range(1, 16), key=lambda s: COUNTS[s]):
         run, length = _window_max(run, int(COUNTS[s]) - length + 1), int(COUNTS[s])
@@ -68,28 +94,28 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not fits.any():  # longer runs have fewer bits
             break
         best[fits] = s  # past the block's end the word is padded
-    step = np.minimum(COUNTS[best], room)
-    jump = step.tolist()
-    starts, i = [], 0
-    while i < n:
-        starts.append(i)
-        i += jump[i]
-    at = np.array(starts)
+    step = np.minimum(_COUNTS[best], np.tile(_ROOM, -(-n // BLOCK))[:n])
+    for i in range(max(0, n - int(_COUNTS.max())), n):  # the last block may be short
+        step[i] = min(int(step[i]), n - i)
+    at = _word_starts(step)
     sel, held = best[at], step[at]
     place = np.cumsum(1 + (sel == 0)) - 1  # of a word; an escape's raw id stands on it
     words = np.zeros(int(place[-1]) + 1, np.uint64)
-    padded = np.concatenate((ids, np.zeros(128, np.uint64)))
-    for s in np.unique(sel).tolist():
+    padded = np.concatenate((ids.astype(np.uint64), np.zeros(128, np.uint64)))
+    for s in np.flatnonzero(np.bincount(sel, minlength=16)).tolist():
         mine = np.flatnonzero(sel == s)
         here, to = at[mine], place[mine]
         if s == 0:
             words[to] = ids[here]
             continue
         packed = np.full(len(mine), s << 60, np.uint64)
+        size = held[mine]
+        short = bool((size < COUNTS[s]).any())
         for k in range(COUNTS[s] if WIDTHS[s] else 0):
-            part = padded[here + k] << np.uint64(k * WIDTHS[s])
-            part[held[mine] <= k] = 0
-            packed |= part
+            part = padded[here + k]
+            if short:
+                part[size <= k] = 0
+            packed |= part << np.uint64(k * WIDTHS[s])
         words[to] = packed
     first = place[np.searchsorted(at, np.arange(0, n, BLOCK))]
     return words, (first - (sel[np.searchsorted(at, np.arange(0, n, BLOCK))] == 0)).astype(np.uint64)
@@ -113,14 +139,22 @@ def decode(words: np.ndarray, blocks: np.ndarray, n: int) -> np.ndarray:
     at = block * BLOCK + before - before[blocks.astype(np.int64)][block]
     out = np.zeros((len(blocks) + 1) * BLOCK + 256, np.uint64)
     out[at[raw]] = words[raw]
+    whole = at + count <= (block + 1) * BLOCK  # the others end with padding
+    sel[raw] = 0
     for s in range(1, 16):
-        mine = np.flatnonzero((sel == s) & ~raw)
-        if len(mine) and WIDTHS[s]:
-            cols = np.arange(COUNTS[s])
-            vals = (words[mine][:, None] >> (cols * WIDTHS[s]).astype(np.uint64)) & np.uint64((1 << int(WIDTHS[s])) - 1)
-            to = at[mine][:, None] + cols
-            real = to < ((block[mine] + 1) * BLOCK)[:, None]
-            out[to[real]] = vals[real]
+        mine = np.flatnonzero(sel == s)
+        if not len(mine) or not WIDTHS[s]:
+            continue
+        here, to, full = words[mine], at[mine], whole[mine]
+        mask, last = np.uint64((1 << int(WIDTHS[s])) - 1), (block[mine] + 1) * BLOCK
+        cut = None if full.all() else np.flatnonzero(~full)
+        for k in range(COUNTS[s]):
+            value = here >> np.uint64(k * WIDTHS[s]) & mask
+            if cut is None:
+                out[to + k] = value
+            else:
+                real = full | (to + k < last)
+                out[(to + k)[real]] = value[real]
     return out[:n]
 
 
@@ -163,7 +197,7 @@ def _encode_part(path: str):
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "chunk": pa.array([chunk], pa.int64()), "before": pa.array([before], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "data": pa.array([data], pa.binary())})
 
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for d, t in rows_of(b, 2):
                 got = enc.encode(t) + end
                 docs.append(d)
                 parts.append(got)
@@ -200,7 +234,7 @@ def _decode_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from zlib import crc32
 
     for b in batches:
-        for part, before, data in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+        for part, before, data in rows_of(b, 3, 1):
             docs, counts, ids = read_chunk(data)
             raw, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(counts)
             sums = [crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]

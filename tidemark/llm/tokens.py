@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import functools
 import json
-from collections.abc import Iterable
 from pathlib import Path
 
 END_ID = 0
-CHUNKS, PIECES = 150_000, 600_000
+CHUNKS, PIECES = 200_000, 500_000
+#: Punctuation that ends most chunks that are not words alone.
+ENDS = frozenset(".,!?;:")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -23,6 +24,51 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Odd(Exception):
+    """A space before white space or the end: no boundary for sure."""
+
+
+class _Pieces(dict):
+    """Piece -> its ids, by the library's model; full, it still answers."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.model, self.alphabet, self.space = model, _byte_alphabet(), _byte_alphabet()[32]
+        self.raw = functools.cache(lambda i: i.to_bytes(4, "little"))
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece[0] == " " and piece.isascii() and piece[1:].isalpha():
+            shown = self.space + piece[1:]
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.alphabet)
+        got = b"".join([self.raw(t.id) for t in self.model.tokenize(shown)])
+        if len(self) < PIECES:
+            self[piece] = got
+        return got
+
+
+class _Chunks(dict):
+    """Chunk less its leading space -> its ids."""
+
+    def __init__(self, owner: Encoder) -> None:
+        super().__init__()
+        self.owner, self.missed = owner, 0
+
+    def __missing__(self, seg: str) -> bytes:
+        if not seg or seg[0].isspace():
+            raise _Odd
+        got = self.owner.chunk(" " + seg)
+        if len(self) < CHUNKS:
+            self[seg] = got
+        else:
+            self.missed += 1
+            if self.missed > 60 * CHUNKS:  # the text has changed: learn anew
+                self.clear()
+                self.owner.pieces.clear()
+                self.missed = 0
+        return got
+
+
 class Encoder:
     """encode(text) -> the ids as little-endian unsigned 32-bit integers, without the end id."""
 
@@ -32,68 +78,39 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        self.model = self.whole.model
         told = json.loads(Path(path).read_text())
         kind = told.get("pre_tokenizer") or {}
         self.cached = told.get("normalizer") is None and kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True)
         #: Fixed value: the pattern of the byte-level pre-tokenizer.
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         #: Chunks of other characters are left to the library's own pattern.
-        self.plain = regex.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*")
-        self.alphabet = _byte_alphabet()
-        self.chunks: dict[str, bytes | None] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.missed = 0
+        self.plain = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]*").fullmatch
+        self.pieces = _Pieces(self.whole.model)
+        self.chunks = _Chunks(self)
 
     def _full(self, text: str) -> bytes:
-        return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
-
-    @staticmethod
-    def _pack(ids: Iterable[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
-
-    def _piece(self, piece: str) -> bytes:
-        if (got := self.pieces.get(piece)) is None:
-            got = self._pack(t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet)))
-            if len(self.pieces) < PIECES:
-                self.pieces[piece] = got
-        return got
+        return b"".join([i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids])
 
-    def _chunk(self, chunk: str) -> bytes:
+    def chunk(self, chunk: str) -> bytes:
         body = chunk[1:] if chunk[0] == " " else chunk
         if body.isalpha():
-            return self._piece(chunk)
-        if body[-1] in ".,!?;:" and body[:-1].isalpha():
-            return self._piece(chunk[:-1]) + self._piece(chunk[-1])
-        if self.plain.fullmatch(chunk):
-            return b"".join(map(self._piece, self.pattern.findall(chunk)))
+            return self.pieces[chunk]
+        if body[-1:] in ENDS and body[:-1].isalpha():
+            return self.pieces[chunk[:-1]] + self.pieces[body[-1]]
+        if self.plain(chunk):
+            return b"".join(map(self.pieces.__getitem__, self.split(chunk)))
         return self._full(chunk)
 
-    def _miss(self, seg: str) -> bytes | None:
-        got = None if not seg or seg[0].isspace() else self._chunk(" " + seg)
-        if len(self.chunks) < CHUNKS:
-            self.chunks[seg] = got
-        else:
-            self.missed += 1
-            if self.missed > 40 * CHUNKS:  # the text has changed: learn anew
-                self.chunks, self.pieces, self.missed = {}, {}, 0
-        return got
-
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if not self.cached:
             return self._full(text)
         first, *segs = text.split(" ")
-        get = self.chunks.get
-        found = [get(s) for s in segs]
-        if None in found:
-            for i, got in enumerate(found):
-                if got is None:
-                    found[i] = got = self._miss(segs[i])
-                    if got is None:  # a space before white space or the end: no boundary for sure
-                        return self._full(text)
-        return (self._chunk(first) if first else b"") + b"".join(found)
+        try:
+            return (self.chunk(first) if first else b"") + b"".join(map(self.chunks.__getitem__, segs))
+        except _Odd:
+            return self._full(text)
 
 
 @functools.lru_cache(maxsize=2)
