@@ -1,0 +1,432 @@
+"""Every operator against brute force on small tables with nulls, empty, long, tied and repeated rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import bwt_dedup, decontamination, html_extract, line_dedup, packing, quality, repeats, sharding, simhash, simple8b, suffix_tree_dedup, tokens
+from tidemark.llm.components import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = r"[^\x20\x09-\x0d]+"
+
+
+def rng_words(r, n, vocabulary=4000):
+    return " ".join(f"w{r.randrange(vocabulary)}" for _ in range(n))
+
+
+def fixture_rows():
+    r = random.Random(1)
+    base = [rng_words(r, n) for n in (80, 120, 300, 60, 30, 200)]
+    passage = rng_words(r, 90)
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(10, base[0]), (11, base[0]), (12, base[1] + " tail"), (13, "x " + passage + " y"), (14, rng_words(r, 40) + " " + passage), (15, passage + "\n" + rng_words(r, 20))]
+    rows += [(16, None), (17, ""), (18, " \t\n "), (19, "one"), (20, "one two"), (21, "a b c"), (22, "é" * 900), (23, "é" * 700), (24, rng_words(r, 9000)), (25, "loop " * 500)]
+    rows += [(26, "same words here " * 40), (27, "same words here " * 40), (28, "Wörter mit  Lücken\x0b und\x0cmehr <|endoftext|> 漢字 🙂 it's")]
+    near = base[2].split()
+    for k in range(6):
+        near = near[:]
+        near[10 * k] = f"edit{k}"
+        rows.append((30 + k, " ".join(near)))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return fixture_rows()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    full = [(d, t, "en", None if d % 7 == 0 else f"s{d % 2}", None if t is None else len(t)) for d, t in rows]
+    return spark.createDataFrame(full, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def runs(flags):
+    e = np.flatnonzero(np.diff(np.concatenate(([0], np.asarray(flags, np.int8), [0]))))
+    return list(zip(e[::2], e[1::2], strict=True))
+
+
+# 1: Simple-8b
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 4095, 4096, 4097, 20000])
+@pytest.mark.parametrize("top", [1, 2, 50257, 2**32, 2**60, 2**64])
+def test_simple8b_round_trip(n, top):
+    r = np.random.default_rng(n)
+    ids = (r.random(n) * top).astype(np.uint64) if top < 2**64 else r.integers(0, 2**64, n, dtype=np.uint64)
+    words, blocks = simple8b.encode(ids)
+    assert (simple8b.decode(words, blocks, n) == ids).all()
+    got_docs, counts, got = simple8b.read_chunk(simple8b.write_chunk([5, None], [n // 2, n - n // 2], ids))
+    assert got_docs == [5, None] and counts.tolist() == [n // 2, n - n // 2] and (got == ids).all()
+
+
+def test_simple8b_escapes_mix():
+    ids = np.array([3, 2**63, 1, 2**60, 2**60 - 1, 0, 2**64 - 1] * 700, np.uint64)
+    words, blocks = simple8b.encode(ids)
+    assert (simple8b.decode(words, blocks, len(ids)) == ids).all()
+
+
+def encoded(text):
+    enc = tokens.encoder(tokens.default_path())
+    return np.array([*enc.whole.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+
+
+def test_token_output(docs, rows, empty, spark):
+    got = simple8b.read_tokens(simple8b.write_tokens(docs)).orderBy("doc_id").collect()
+    at = 0
+    for g, (d, t) in zip(got, sorted(rows), strict=True):
+        ids = encoded(t)
+        assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (d, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert simple8b.read_tokens(simple8b.write_tokens(empty)).count() == 0
+    odd = spark.createDataFrame([(None, "a"), (3, "b"), (3, "b"), (3, "c")], "doc_id long, text string")
+    got = simple8b.read_tokens(simple8b.write_tokens(odd)).orderBy("start").collect()
+    assert [g.doc_id for g in got] == [None, 3, 3, 3] and [g.start for g in got] == [0, 2, 4, 6]
+
+
+def test_full_caches_still_answer(monkeypatch):
+    monkeypatch.setattr(tokens, "CHUNKS", 2)
+    monkeypatch.setattr(tokens, "PIECES", 2)
+    enc = tokens.Encoder(tokens.default_path())
+    for _, t in fixture_rows():
+        assert enc.encode(t or "") == encoded(t)[:-1].tobytes()
+
+
+# 2 and 4: exact repeats
+
+
+def brute_bytes(rows, length):
+    seen = Counter()
+    raws = [(t or "").encode() for _, t in rows]
+    for b in raws:
+        seen.update(b[i : i + length] for i in range(len(b) - length + 1))
+    out = []
+    for (d, _), b in zip(rows, raws, strict=True):
+        flag = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                flag[i : i + length] = True
+        out.append((d, len(b), int(flag.sum()), len(runs(flag)), hashlib.sha256(np.frombuffer(b, np.uint8)[~flag].tobytes()).hexdigest()))
+    return out
+
+
+def brute_words(rows, length):
+    seen, out = set(), []
+    for d, t in sorted(rows):
+        words = re.findall(WORD.encode(), (t or "").encode())
+        flag = np.zeros(len(words), bool)
+        for i in range(len(words) - length + 1):
+            key = tuple(words[i : i + length])
+            if key in seen:
+                flag[i : i + length] = True
+            seen.add(key)
+        out.append((d, len(words), int(flag.sum()), " ".join(w.decode() for w, f in zip(words, flag, strict=True) if not f)))
+    return out
+
+
+@pytest.mark.parametrize("hot", [repeats.HOT, 1])
+def test_byte_dedup(docs, rows, empty, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    out = bwt_dedup.drop_repeated_bytes(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256))
+    assert sorted(map(tuple, out.collect())) == sorted(brute_bytes(rows, 400))
+    if hot > 1:
+        assert bwt_dedup.drop_repeated_bytes(empty).count() == 0
+
+
+@pytest.mark.parametrize("hot", [repeats.HOT, 1])
+def test_word_dedup(docs, rows, empty, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    assert sorted(map(tuple, suffix_tree_dedup.drop_repeated_words(docs).collect())) == sorted(brute_words(rows, 20))
+    if hot > 1:
+        assert suffix_tree_dedup.drop_repeated_words(empty).count() == 0
+
+
+def test_dedup_of_repeated_and_null_ids(spark):
+    text = " ".join(f"z{i}" for i in range(120))
+    odd = spark.createDataFrame([(None, text), (5, text), (5, text), (6, "short")], "doc_id long, text string")
+    got = [(r.doc_id, r.n_removed) for r in bwt_dedup.drop_repeated_bytes(odd).collect()]
+    assert sorted(got, key=str) == sorted([(None, len(text)), (5, len(text)), (5, len(text)), (6, 0)], key=str)
+    got = [(r.doc_id, r.n_removed) for r in suffix_tree_dedup.drop_repeated_words(odd).collect()]
+    assert sorted(got, key=str) == sorted([(None, 0), (5, 120), (5, 120), (6, 0)], key=str)
+
+
+def test_common_prefixes_by_brute_force():
+    r = random.Random(3)
+    text = np.array([r.choice((0, 66, 67)) if r.random() < 0.9 else 0 for _ in range(300)], np.int64)
+    text[-1] = 0
+    for depth in (8, 12):
+        order = bwt_dedup.suffix_order(text, depth)
+        cut = bwt_dedup.short_prefixes(text, order, depth)
+        for i in range(1, len(text)):
+            a, b = text[order[i - 1] : order[i - 1] + depth].tolist(), text[order[i] : order[i] + depth].tolist()
+            assert a <= b
+            if len(a) == len(b) == depth and 0 not in a and 0 not in b:
+                assert cut[i] == (a != b)
+
+
+# 3: packing
+
+
+def test_packing(docs, rows, empty):
+    got = packing.retrieval_packing(docs, shard_bytes=20_000).collect()
+    at, where = Counter(), {}
+    texts = dict(rows)
+    for g in sorted(got, key=lambda g: (g.doc_id, g.start)):
+        ids = encoded(texts[g.doc_id])
+        assert g.start == at[g.doc_id] and g.length > 0 and g.doc_tokens == len(ids)
+        assert bytes(g.ids) == ids[g.start : g.start + g.length].tobytes()
+        at[g.doc_id] += g.length
+        where.setdefault(g.sequence_id, []).append((g.offset, g.length))
+    assert all(at[d] == len(encoded(t)) for d, t in rows)
+    short = Counter()
+    for sequence, pieces in where.items():
+        end = 0
+        for offset, length in sorted(pieces):
+            assert offset == end
+            end += length
+        assert end <= 1024
+        short[sequence >> 32] += end < 1024
+    assert max(short.values()) <= 1  # a shard's last sequence alone
+    assert packing.retrieval_packing(empty).count() == 0
+
+
+def test_neighbours_are_lexical():
+    a, b, c = [1, 2, 3, 4, 50] * 20, [1, 2, 3, 4, 60] * 20, [7, 8, 9, 10, 11] * 20
+    docs = [a, c, b, c[::-1]] + [[100 + i] * 30 for i in range(40)]
+    lengths = np.array([len(d) for d in docs])
+    index = packing.Index(np.array([t for d in docs for t in d], np.uint32), lengths)
+    used = np.zeros(len(docs), bool)
+    used[0] = True
+    assert index.neighbours(0, used).tolist() == [2]
+    used[0], used[1] = False, True
+    assert index.neighbours(1, used).tolist() == [3]
+
+
+# 5: sharding
+
+
+def test_sharding(docs, rows, empty, spark):
+    big = spark.range(4000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 5 == 0, None).otherwise(F.repeat(F.lit("é"), (F.col("id") % 90).cast("int"))).alias("text"), F.lit(1).alias("shard"), F.lit(2).alias("__x"))
+    out = sharding.histogram_shards(big, 24, part_bytes=2000)
+    got = out.collect()
+    assert out.columns == ["doc_id", "text", "__x", "size", "shard", "slot"] and len(got) == 4000
+    total = Counter()
+    slots = {}
+    for g in got:
+        assert g.size == len((g.text or "").encode()) + 8
+        total[g.shard] += g.size
+        slots.setdefault(g.shard, []).append(g.slot)
+    assert set(total) == set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    share = sum(total.values()) / 24
+    assert max(abs(v - share) for v in total.values()) <= 2 * (8 + 180)
+    assert sharding.histogram_shards(empty).count() == 0
+    assert sharding.histogram_shards(docs, 70).count() == len(rows)
+
+
+# 6: decontamination
+
+
+def brute_leaks(rows, items, need=12):
+    norm = lambda t: re.sub(r"[\W_]+", " ", (t or "").lower()).split()
+    found = {}
+    for d, t in rows:
+        w = norm(t)
+        for i, x in items:
+            m = norm(x)
+            for shift in range(-len(m) + 1, len(w)):
+                s = best = 0
+                for q in range(max(0, -shift), min(len(m), len(w) - shift)):
+                    s = max(s, 0) + (1 if w[q + shift] == m[q] else -2)
+                    best = max(best, s)
+                if m and best >= min(need, -(-8 * len(m) // 10)):
+                    found[d, i] = max(best, found.get((d, i), 0))
+    return found
+
+
+def test_decontamination(spark, empty):
+    r = random.Random(5)
+    items = [(i, rng_words(r, n)) for i, n in enumerate((15, 20, 40, 60))] + [(8, None), (9, "tiny item")]
+    def put(t):
+        return rng_words(r, 30) + " " + t + " " + rng_words(r, 25)
+    sub = items[2][1].split()
+    sub[7], sub[19], sub[31] = "x1", "x2", "x3"
+    rows = [(0, put(items[0][1])), (1, put(items[1][1].upper().replace(" ", "*** "))), (2, put(" ".join(sub))), (3, put(" ".join(items[3][1].split()[10:24]))), (4, put(" ".join(items[3][1].split()[:6]))), (5, rng_words(r, 400)), (6, None), (7, ""), (8, items[0][1]), (8, items[1][1])]
+    docs = spark.createDataFrame([*rows, (None, items[0][1])], "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(g.doc_id, g.item_id): g.score for g in decontamination.contaminated(docs, bench).collect()}
+    assert got == brute_leaks(rows, items) and {(0, 0), (1, 1), (2, 2), (3, 3), (8, 0), (8, 1)} == set(got)
+    kept = decontamination.decontaminate(docs, bench)
+    assert sorted((x.doc_id for x in kept.collect()), key=str) == [4, 5, 6, 7, None]
+    assert decontamination.contaminated(empty, bench).count() == 0 and decontamination.contaminated(docs, bench.limit(0)).count() == 0
+
+
+# 7: SimHash
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    t = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    w = re.findall(WORD, t)
+    if not w:
+        return 0
+    shingles = [" ".join(w)] if len(w) < 3 else [" ".join(w[i : i + 3]) for i in range(len(w) - 2)]
+    count = [0] * 64
+    for s in shingles:
+        h = xxhash.xxh64_intdigest(s.encode(), 42)
+        for k in range(64):
+            count[k] += h >> k & 1
+    return sum((2 * c > len(shingles)) << k for k, c in enumerate(count))
+
+
+def joined(pairs, nodes):
+    parent = {n: n for n in nodes}
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("chunk", [simhash.CHUNK, 3])
+def test_simhash(docs, rows, empty, chunk, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    fps = {d: brute_fingerprint(t) for d, t in rows}
+    roots = joined([(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3], fps)
+    got = {g.doc_id: (g.fingerprint, g.component_id) for g in simhash.near_duplicates(docs).collect()}
+    assert got == {d: (f"{f:016x}", roots[d]) for d, f in fps.items()}
+    if chunk > 3:
+        assert {g.doc_id for g in simhash.keep_one(docs).collect()} == set(roots.values())
+        assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_links_of_crafted_fingerprints(spark):
+    r = random.Random(2)
+    values = [r.getrandbits(64) for _ in range(300)]
+    for v in values[:100]:
+        for n in (1, 2, 3, 4):
+            w = v
+            for b in r.sample(range(64), n):
+                w ^= 1 << b
+            values.append(w)
+    values = sorted(set(values))
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    links = simhash.fingerprint_links(spark.createDataFrame([(signed(v),) for v in values], "fp long").repartition(3))
+    roots = {g.node: g.root for g in components(links).collect()}
+    nodes = [signed(v) for v in values]
+    expected = joined([(signed(a), signed(b)) for i, a in enumerate(values) for b in values[i + 1 :] if (a ^ b).bit_count() <= 3], nodes)
+    assert all(roots.get(n, n) == expected[n] for n in nodes)
+
+
+def test_repeated_rows_keep_one(spark):
+    odd = spark.createDataFrame([(3, "a b c d"), (3, "a b c d"), (4, "a b c d"), (None, "a b c d"), (None, "q r s t u v")], "doc_id long, text string")
+    assert [g.doc_id for g in simhash.keep_one(odd).collect()].count(3) == 1
+
+
+def test_components_of_a_path(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "u long, v long")
+    got = {g.node: g.root for g in components(path).collect()}
+    assert all(got[i] == 0 for i in range(61)) and got[101] == 100 and got[100] == 100 and len(got) == 63
+
+
+# 8: lines
+
+
+def test_line_dedup(spark, empty):
+    rows = [(i, f"menu {'x' if i % 2 else 'y'}\nown line {i}\n\n  footer  ", "h" if i < 40 else None, "kept") for i in range(60)]
+    rows += [(100, None, "h", "k"), (101, "", "h", "k"), (102, "alone", "tiny", "k"), (103, "menu x\nmenu x\nmenu x", "h", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines string").repartition(3)
+    out = line_dedup.drop_boilerplate(docs, "source", ratio=0.4, min_pages=5)
+    got = {g.doc_id: (g.text, g.n_lines, g.n_removed) for g in out.collect()}
+    pages = Counter(s or "" for _, _, s, _ in rows)
+    lines = Counter((s or "", x) for _, t, s, _ in rows for x in {y.strip() for y in (t or "").split("\n")} if x)
+    heavy = {k for k, n in lines.items() if n >= 5 and n > 0.4 * pages[k[0]]}
+    for d, t, s, _ in rows:
+        parts = (t or "").split("\n")
+        kept = [x for x in parts if (s or "", x.strip()) not in heavy]
+        assert got[d] == (t if len(kept) == len(parts) else "\n".join(kept), len(parts), len(parts) - len(kept))
+    assert heavy and line_dedup.drop_boilerplate(empty, "source").count() == 0
+
+
+# 9: quality
+
+
+@pytest.mark.parametrize("few", [quality.FEW, 0])
+def test_base_features(docs, rows, few, monkeypatch):
+    monkeypatch.setattr(quality, "FEW", few)
+    got = {g.doc_id: g for g in quality.base_features(docs).collect()}
+    for d, t in rows:
+        t = t or ""
+        w = re.findall(WORD, t)
+        lines = [x for x in t.split("\n") if re.search(WORD, x)]
+        count = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        covered = {j for i in range(len(w) - 2) if count[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        g = got[d]
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for x in w for c in x), len(lines) - len(set(lines)), len(covered))
+
+
+def test_label_model_finds_the_bad():
+    r = random.Random(9)
+    patterns = Counter()
+    for _ in range(4000):
+        bad = r.random() < 0.2
+        patterns[tuple(-1 if r.random() < (0.6 if bad else 0.02) else 0 for _ in range(5))] += 1
+    p, table = quality.fit_label_model(sorted(patterns.items()))
+    assert 0.75 < p < 0.85 and all(row[-1][1] > 0.5 and row[-1][0] < 0.05 for row in table)
+    assert quality.fit_label_model([]) == (0.8, [])
+
+
+def test_quality_outputs(docs, empty):
+    out = quality.label_quality(docs)
+    assert out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+    got = {g.doc_id: g for g in out.collect()}
+    assert got[16].base_failed and not got[16].kept and got[25].base_failed and not got[2].base_failed
+    assert quality.label_quality(empty).count() == 0
+
+
+# 10: HTML
+
+
+def test_html_cases(spark):
+    pages = spark.createDataFrame([(1, "<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>More</a></li></ul></nav><article><h1>A &lt; B</h1><p>One  two\nthree.<br>Four <b>five.</p><p>Six&nbsp;seven.</article><footer>&copy; site</footer>", "x"), (2, None, "x"), (3, "", "x"), (4, "<script>var a='<p>no</p>'", "x")], "page_id long, html string, main_text string")
+    got = {g.page_id: g.main_text for g in html_extract.extract_main_text(pages).collect()}
+    assert got == {1: "A < B\nOne two three. Four five.\nSix seven.", 2: "", 3: "", 4: ""}
+    assert html_extract.extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_html_held_out():
+    fitted = html_extract.models()
+    exact = n = 0
+    for k in range(150):
+        source = html_extract.generated(77_000_000 + k)
+        page = html_extract.Page(source)
+        exact += page.text(page.labels()[1]) == html_extract.extract_all([source], fitted)[0]
+        n += 1
+    assert exact / n >= 0.93
+
+
+def test_decoding_never_contradicts():
+    page = html_extract.Page(html_extract.generated(5))
+    r = np.random.default_rng(0)
+    for _ in range(20):
+        main = page.decode(r.normal(size=len(page.tag)) * 3, r.normal(size=len(page.tag)) * 3)
+        above = [False] * len(page.tag)
+        for k in range(1, len(page.tag)):
+            above[k] = above[page.parent[k]] or main[page.parent[k]]
+            if main[k] and above[k]:
+                assert main[page.parent[k]]
