@@ -84,3 +84,23 @@ def test_streaming_equals_batch(spark, tmp_path):
 
     whole = {tuple(r) for r in captures(spark, "/root/testdata/sf0.001").groupBy("cohort", "window_start").agg(F.count(F.lit(1)), F.count_if(~F.col("dropped")), F.sum("frame_bytes")).collect()}
     assert closed <= whole and len(closed) >= len(whole) - 5
+
+
+def test_round_command(spark, tmp_path):
+    from tidemark.__main__ import main
+
+    root = str(tmp_path / "root")
+    rows = range(40)
+    truth = spark.createDataFrame([("p", "prod/a", 6000, i, 1000 + i, 1, 9, 1.5, [1], [0.5]) for i in rows], intermediates.TRUTH.replace("decimal(20,0)", "long")).withColumn("vector_hash", F.col("vector_hash").cast("decimal(20,0)"))
+    sweep = spark.createDataFrame([("p", "prod/a", 6000, i, ef, [1], r, 0.5, 1) for i in rows for ef, r in ((20, 0.5), (40, 0.95), (80, 1.0))], intermediates.SWEEP)
+    metas = spark.createDataFrame([("p", "prod/a", 6000, 600, 50, 40, "main", "docs", "embedding", "doc_id", 20, [20, 40, 80], 0, 40, 0, 1)], intermediates.METAS)
+    intermediates.write_pairs(root, truth, sweep, metas)
+    (tmp_path / "c.yaml").write_text(YAML.replace("/tmp/x", root).replace("1000", "10").replace("24h", "2h"))
+    assert main(["check", "--config", str(tmp_path / "c.yaml")]) == 0
+    assert main(["round", "--config", str(tmp_path / "c.yaml"), "--at", "7230"]) == 0
+    shape = "status string, recommended_ef int, effective struct<recommended_ef:int,source_round:string,carried:boolean>, samples struct<unique:long>"
+    got = intermediates.read_latest(spark, root, shape).first()["round"]
+    assert (got.status, got.recommended_ef, got.samples.unique, got.effective.carried) == ("ok", 40, 40, False)
+    assert main(["round", "--config", str(tmp_path / "c.yaml"), "--at", "20000"]) == 0
+    got = intermediates.read_latest(spark, root, shape).first()["round"]
+    assert got.status == "insufficient_samples" and got.recommended_ef is None and got.effective.carried and got.effective.source_round == "1970-01-01T02:00:00Z"

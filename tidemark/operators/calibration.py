@@ -177,7 +177,7 @@ def calibration_rounds(rounds: DataFrame, parts: DataFrame, metas: DataFrame, tr
 
 def population(used: DataFrame, truth: DataFrame, config: RoundConfig) -> DataFrame:
     """Distinct vectors of each round's compatible parts, with their side of the split."""
-    rows = used.select("cohort", "round_end", "part_ulid").join(truth, "part_ulid").select("cohort", "round_end", "vector_hash", "part_ulid", "record_index", "latency_ms")
+    rows = used.select("cohort", "round_end", "part_ulid").join(truth.select("part_ulid", "record_index", "vector_hash", "latency_ms"), "part_ulid").select("cohort", "round_end", "vector_hash", "part_ulid", "record_index", "latency_ms")
     return deduplicated(rows, ["cohort", "round_end"]).withColumn("is_train", is_train_member(F.col("vector_hash"), config.split_seed, config.train_fraction))
 
 
@@ -199,7 +199,7 @@ def selection(samples: DataFrame, sweep: DataFrame, config: RoundConfig) -> Data
 
 def per_ef(samples: DataFrame, sweep: DataFrame, config: RoundConfig) -> DataFrame:
     """Per round and ef over the whole population: quantile_recall, mean_recall (from whole hits) and n."""
-    rows = samples.select("cohort", "round_end", "part_ulid", "record_index").join(sweep, ["part_ulid", "record_index"])
+    rows = samples.select("cohort", "round_end", "part_ulid", "record_index").join(sweep.select("part_ulid", "record_index", "ef", "hits", "recall"), ["part_ulid", "record_index"])
     n = F.count(F.lit(1))
     return rows.groupBy("cohort", "round_end", "ef").agg(type7(F.collect_list("recall"), config.q).alias("quantile_recall"), (F.sum("hits") / (n * F.lit(float(config.k)))).alias("mean_recall"), n.alias("n"))
 
