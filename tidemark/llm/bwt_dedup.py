@@ -15,10 +15,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidemark.llm.common import clean_text, small_or_shuffled, stored
-from tidemark.llm.repeats import Kind, mix, repeated_runs
+from tidemark.llm.common import rows_of, stored
+from tidemark.llm.repeats import Kind, keyed, mix, repeated_runs
 
 LENGTH = 400
 GRAM = 32
@@ -30,51 +29,82 @@ def _read(text: str) -> tuple[np.ndarray, Callable[[int, int], bytes]]:
     return _BYTES[np.frombuffer(raw, np.uint8)], lambda a, b: raw[a:b]
 
 
+#: Places of a text up to this many bits are sorted within their keys, which is several times faster than an argsort.
+PLACE = 21
+
+
+def _order(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, whether each but the first differs from its forerunner) by two keys below 2**PLACE, or by argsort for longer texts."""
+    n = len(high)
+    if n < 1 << PLACE:
+        key = np.sort(high << 2 * PLACE | low << PLACE | np.arange(n))
+        return key & ((1 << PLACE) - 1), np.diff(key >> PLACE) != 0
+    key = high << 31 | low
+    order = np.argsort(key)
+    return order, np.diff(key[order]) != 0
+
+
+#: Symbols of nine bits that one word holds.
+HEAD = 7
+
+
+def heads(text: np.ndarray) -> np.ndarray:
+    """The first HEAD symbols (0 to 257, each plus one; past the end: 0) of every suffix as one number."""
+    key = np.zeros(len(text), np.int64)
+    for k in range(HEAD):
+        key <<= 9
+        key[: max(0, len(text) - k)] |= text[k:] + 1
+    return key
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes by their first `depth` symbols (0 to 256; past the end: less), by doubling; ties stay as they are."""
+    """Suffixes by their first `depth` symbols, by doubling; ties in any order."""
     n = len(text)
-    key = np.zeros(n, np.int64)
-    for k in range(6):
-        part = np.zeros(n, np.int64)
-        part[: max(0, n - k)] = text[k:] + 1
-        key = key << 10 | part
-    have = 6
+    key = heads(text)
+    order = np.argsort(key)
+    fresh, have = np.diff(key[order]) != 0, HEAD
     while True:
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        rank = np.zeros(n, np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1]))) + 1
-        if have >= depth or rank.max(initial=0) == n:
+        place = np.concatenate(([1], 1 + np.cumsum(fresh)))
+        if have >= depth or place[-1] == n:
             return order
+        rank = np.empty(n, np.int64)
+        rank[order] = place
         after = np.zeros(n, np.int64)
         after[: max(0, n - have)] = rank[have:]
-        key, have = rank << 32 | after, have * 2
+        order, fresh = _order(rank, after)
+        have *= 2
 
 
 def short_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """Whether suffix order[i] and its forerunner share less than `depth` symbols, for every i (the first: yes).
 
-    Symbol 0 ends a text: strings with it inside are never formed.
+    Symbol 0 ends a text: no string is extended by it. The order itself tells the
+    prefixes below HEAD symbols, so the search begins with all strings of HEAD.
     """
     n = len(text)
     last = text[order - 1]  # the transform; the text is taken as a ring
-    back = np.argsort(last, kind="stable")
+    back = np.argsort(last.astype(np.uint16), kind="stable")
     step = np.empty(n, np.int64)
     step[back] = np.arange(n)  # row of the suffix one symbol longer
     found = np.zeros(n + 1, bool)
     found[0] = found[n] = True
-    lo, hi = np.array([0]), np.array([n])
-    for length in range(depth):
+    lo = np.flatnonzero(np.concatenate(([True], np.diff(heads(text)[order]) != 0)))
+    hi = np.append(lo[1:], n)
+    found[lo] = True
+    shift = max(PLACE, n.bit_length())
+    for _ in range(HEAD, depth):
         width = hi - lo
-        rows = np.repeat(lo - np.concatenate(([0], np.cumsum(width)[:-1])), width) + np.arange(width.sum())
+        ends = np.cumsum(width)
+        rows = np.repeat(lo - ends + width, width) + np.arange(ends[-1])
         symbol = last[rows]
-        key = np.repeat(np.arange(len(lo)), width) * 257 + symbol
-        if length:
-            whole = symbol > 0
-            rows, key = rows[whole], key[whole]
-        _, head, count = np.unique(key, return_index=True, return_counts=True)
-        lo = step[rows[head]]
-        hi = lo + count
+        key = (np.repeat(np.arange(len(lo)) * 257, width) + symbol) << shift | rows
+        key = key[symbol > 0]
+        key.sort()
+        if not len(key):
+            break
+        head = np.flatnonzero(np.concatenate(([True], np.diff(key >> shift) != 0)))
+        lo = step[key[head] & ((1 << shift) - 1)]
+        hi = lo + np.diff(np.append(head, len(key)))
         fresh = ~found[hi]
         lo, hi = lo[fresh], hi[fresh]
         found[hi] = True
@@ -130,7 +160,7 @@ def merged(runs: list[dict] | None, extra: int) -> list[tuple[int, int]]:
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for d, t, runs in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+        for d, t, runs in rows_of(b, 3):
             raw = t.encode("utf-8", "surrogatepass")
             spans = merged(runs, LENGTH - 1)
             kept, at = [], 0
@@ -159,7 +189,7 @@ def drop_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def finish(df: DataFrame, runs: DataFrame, id_col: str, text_col: str, remove, schema: str) -> DataFrame:
     """Join each text to its runs and hand (id, text, runs) to `remove`."""
-    runs = small_or_shuffled(stored(runs), 256)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text_col).alias("h"), clean_text(text_col).alias("t"))
+    runs = stored(runs)
+    docs = keyed(df, id_col, text_col)
     return docs.join(runs, ["id", "h"], "left").select("doc_id", "t", "runs").mapInArrow(remove, schema)
 

@@ -17,15 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import clean_text, drop_stored, small_or_shuffled, stored
+from tidemark.llm.common import clean_text, drop_stored, rows_of, small_or_shuffled, stored
 
 #: Windows of a text handled at once; longer texts go in overlapping parts.
 PART = 1 << 19
 PLACE_BITS = 20
 #: Different contexts of an anchor beyond which the group is cut by place and common core.
-HOT = 4_000
+HOT = 2_000
 #: Units of context text that a task analyses at once.
-BATCH_UNITS = 1 << 20
+BATCH_UNITS = 1 << 19
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -88,7 +88,7 @@ def _anchor_rows(kind: Kind):
 
         for b in batches:
             cols: list[list[np.ndarray]] = [[] for _ in range(7)]
-            for d, h, t in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+            for d, h, t in rows_of(b, 3):
                 units, cut = kind.read(t)
                 first, n, place, anchor = contexts(units, kind.length, kind.gram)
                 if len(first):
@@ -109,7 +109,7 @@ def _cut_rows(kind: Kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for t, d, wanted in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+            for t, d, wanted in rows_of(b, 3):
                 _, cut = kind.read(t)
                 for w in wanted:
                     rows.append((w["a"], w["c"], w["o"], w["n"], d, w["i"], w["weight"], cut(w["i"], w["i"] + w["n"] + kind.length - 1)))
@@ -179,26 +179,26 @@ def repeated_runs(
 
     keep_first: a window counts only if it also starts earlier (less id, or less
     start in one document); else if it starts anywhere else. Documents are read
-    for anchors, then the representatives' texts are cut out; both joins with the
-    texts broadcast the other side where its counted rows are few.
+    for anchors, then the representatives' texts are cut out. What grows with the
+    input is shuffled at every size, and nothing of it is broadcast.
     """
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text_col).alias("h"), clean_text(text_col).alias("t"))
+    docs = keyed(df, id_col, text_col)
     rows = stored(docs.select("id", "h", "t").mapInArrow(_anchor_rows(kind), "a long, c long, id long, h long, i long, n int, o int"))
-    groups = rows.groupBy("a").agg(F.count(F.lit(1)).alias("all"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("all > 1")
-    twice = stored(groups.select("a", (F.col("lo") != F.col("hi")).alias("many")))
-    seen = stored(rows.join(small_or_shuffled(twice, 24), "a"))
+    twice = stored(rows.groupBy("a").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select("a"))
+    seen = stored(rows.join(twice, "a"))
     drop_stored(rows)
 
     # one row for each different context, with its first occurrence
-    each = seen.groupBy("a", "c").agg(F.min(F.struct("id", "i", "h", "n", "o")).alias("r"), F.count(F.lit(1)).alias("weight"), F.first("many").alias("many"))
-    each = stored(each.select("a", "c", "r.*", "weight", "many"))
+    each = seen.groupBy("a", "c").agg(F.min(F.struct("id", "i", "h", "n", "o")).alias("r"), F.count(F.lit(1)).alias("weight"))
+    each = stored(each.select("a", "c", "r.*", "weight"))
+    groups = stored(each.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+    each = stored(each.join(groups, "a", "left").withColumn("many", F.col("kinds").isNotNull()))
     several = each.where("many")
     wanted = several.groupBy("id", "h").agg(F.collect_list(F.struct("a", "c", "o", "n", "i", "weight")).alias("wanted"))
-    wanted = small_or_shuffled(stored(wanted), 640)
-    # rows that repeat id and text are one text to cut
+    repeats = not docs.groupBy("id", "h").count().where("count > 1").isEmpty()  # such rows are one text to cut
     texts = docs.join(wanted, ["id", "h"]).select("t", "id", "wanted")
-    cuts = stored(texts.mapInArrow(_cut_rows(kind), CUT).dropDuplicates(["a", "c"]) if _repeats(docs) else texts.mapInArrow(_cut_rows(kind), CUT))
-    hot = stored(several.groupBy("a").count().where(F.col("count") > HOT).select("a"))
+    cuts = stored(texts.mapInArrow(_cut_rows(kind), CUT).dropDuplicates(["a", "c"]) if repeats else texts.mapInArrow(_cut_rows(kind), CUT))
+    hot = stored(groups.where(F.col("kinds") > HOT).select("a"))
     order = ["g", "a", "c", "o", "n", "id", "i", "weight", "bytes", "at"]
     if hot.isEmpty():
         grouped = cuts.withColumns({"g": F.col("a"), "at": F.lit(0)}).select(*order)
@@ -212,7 +212,6 @@ def repeated_runs(
     found = stored(dealt.mapInArrow(_analyse(find, kind.length, size), "a long, c long, s int, m int"))
     per = found.groupBy("a", "c").agg(F.collect_list(F.struct("s", "m")).alias("found"))
     each = each.join(per, ["a", "c"], "left").select("a", "c", F.col("id").alias("id0"), F.col("i").alias("i0"), "many", "found")
-    each = small_or_shuffled(stored(each), 72)
     all_windows = F.array(F.struct(F.lit(0).alias("s"), F.col("n").alias("m")))
     part = F.coalesce("found", F.array().cast("array<struct<s:int,m:int>>"))
     if keep_first:
@@ -220,10 +219,12 @@ def repeated_runs(
         runs = F.when(~first, all_windows).when(F.col("many"), part).otherwise(F.array().cast("array<struct<s:int,m:int>>"))
     else:
         runs = F.when(F.col("many"), part).otherwise(all_windows)
-    marked = seen.drop("many").join(each, ["a", "c"]).select("id", "h", F.explode(F.transform(runs, lambda r: F.struct((F.col("i") + r["s"]).alias("s"), (F.col("i") + r["s"] + r["m"]).alias("e")))).alias("r"))
+    marked = seen.join(each, ["a", "c"]).select("id", "h", F.explode(F.transform(runs, lambda r: F.struct((F.col("i") + r["s"]).alias("s"), (F.col("i") + r["s"] + r["m"]).alias("e")))).alias("r"))
     return marked.groupBy("id", "h").agg(F.collect_set("r").alias("runs"))
 
 
-def _repeats(docs: DataFrame) -> bool:
-    """Whether any (id, text hash) occurs twice."""
-    return not docs.groupBy("id", "h").count().where("count > 1").isEmpty()
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id (null: the least long), h and t of each row: h tells rows of one id apart, by their text; 0 where no id repeats."""
+    mark = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    unique = df.groupBy(mark.alias("id")).count().where("count > 1").isEmpty()
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), mark.alias("id"), (F.lit(0).cast("long") if unique else F.xxhash64(text_col)).alias("h"), clean_text(text_col).alias("t"))

@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.bwt_dedup import finish, merged
+from tidemark.llm.common import rows_of
 from tidemark.llm.repeats import Kind, repeated_runs
 
 LENGTH = 20
-GRAM = 2
+GRAM = 4
 #: Suffixes of a subtree, unless they share a whole window.
 SUBTREE = 1 << 16
 
@@ -99,7 +100,7 @@ def _slices(data: bytes) -> Callable[[int, int], bytes]:
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for d, t, runs in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+        for d, t, runs in rows_of(b, 3):
             words = t.encode("utf-8", "surrogatepass").split()
             spans = merged(runs, LENGTH - 1)
             kept, at = [], 0
