@@ -212,6 +212,7 @@ def repeated_runs(
     found = stored(dealt.mapInArrow(_analyse(find, kind.length, size), "a long, c long, s int, m int"))
     per = found.groupBy("a", "c").agg(F.collect_list(F.struct("s", "m")).alias("found"))
     each = each.join(per, ["a", "c"], "left").select("a", "c", F.col("id").alias("id0"), F.col("i").alias("i0"), "many", "found")
+    each = stored(each)  # so that the join below is of two plain exchanges, whose hot partitions Spark splits
     all_windows = F.array(F.struct(F.lit(0).alias("s"), F.col("n").alias("m")))
     part = F.coalesce("found", F.array().cast("array<struct<s:int,m:int>>"))
     if keep_first:
