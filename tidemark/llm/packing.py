@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import clean_text
+from tidemark.llm.common import clean_text, rows_of
 from tidemark.llm.tokens import END_ID, default_path, encoder
 
 WINDOW = 1024
 #: Text bytes that one shard's index is made of, on average.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 4 << 20
 #: More shards than this share partitions, one after the other.
 MAX_PARTITIONS = 20_000
 K1, B = 1.2, 0.75
@@ -30,7 +30,7 @@ class Index:
     def __init__(self, ids: np.ndarray, lengths: np.ndarray) -> None:
         n_docs = len(lengths)
         terms = ids.astype(np.uint16) if int(ids.max(initial=0)) < 1 << 16 else ids
-        order = np.argsort(terms, kind="stable")
+        order = np.argsort(terms, kind="stable").astype(np.int32)
         doc = np.repeat(np.arange(n_docs, dtype=np.int32), lengths)[order]
         term = terms[order]
         new = np.ones(len(term), bool)
@@ -131,7 +131,7 @@ def _pack_shards(path: str, window: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for b in batches:
-            for shard, d, t in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+            for shard, d, t in rows_of(b, 3):
                 if shard != now:
                     if docs:
                         yield from flush()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import clean_text, small_or_shuffled, stored
+from tidemark.llm.common import clean_text, rows_of, small_or_shuffled, stored
 from tidemark.llm.components import components
 
 SEED = 42
@@ -52,7 +52,7 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+        found = np.array([fingerprint(t) for _, t in rows_of(b, 2)], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["__id", "__fp"])
 
 
