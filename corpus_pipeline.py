@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import stored
 from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.line_dedup import drop_boilerplate
+from tidemark.llm.near_copies import keep_one_similar
 from tidemark.llm.packing import retrieval_packing
 from tidemark.llm.quality import label_quality
-from tidemark.llm.simhash import keep_one
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -35,8 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each near-duplicate component."""
-    return keep_one(docs.select(*COLUMNS))
+    """The document of the least id of each component of documents of similarity 0.8 or more."""
+    return keep_one_similar(docs.select(*COLUMNS))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
