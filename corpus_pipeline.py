@@ -28,8 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines; n_chars follows the text."""
-    out = drop_boilerplate(docs.select(*COLUMNS), "source")
+    """Documents without their source's boilerplate lines, equal texts being one page; n_chars follows the text."""
+    out = drop_boilerplate(docs.select(*COLUMNS), "source", copies_once=True)
     chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.select(*[chars.alias(c) if c == "n_chars" else F.col(c) for c in COLUMNS])
 

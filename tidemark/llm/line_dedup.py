@@ -16,21 +16,26 @@ def _hashes(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.when(F.btrim(x, F.lit(BLANKS)) != "", F.xxhash64(F.btrim(x, F.lit(BLANKS)))))
 
 
-def boilerplate_lines(df: DataFrame, host_col: str, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate_lines(df: DataFrame, host_col: str, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """(__host, __line hash, pages, host_pages) of lines on more than `ratio` of their host's pages.
 
+    With `copies_once` a host's pages of equal text are one page, so that copies don't make a text boilerplate.
+
     A line counts once a page, trimmed; blank lines don't count. Counting is by
     (host, line), so a hot host's lines spread, and map-side sums come first.
     Lines on fewer than `min_pages` pages go before the join with host totals.
     """
-    pages = df.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("__host"), F.split(clean_text(text_col), "\n", -1).alias("__l"))
-    totals = pages.groupBy("__host").agg(F.count(F.lit(1)).alias("host_pages"))
-    lines = pages.select("__host", F.explode(F.array_distinct(_hashes(F.col("__l")))).alias("__line")).where("__line is not null")
+    page = [F.xxhash64(clean_text(text_col)).alias("__page")] if copies_once else []
+    pages = df.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("__host"), F.split(clean_text(text_col), "\n", -1).alias("__l"), *page)
+    counted = pages.select("__host", "__page").distinct() if copies_once else pages
+    totals = counted.groupBy("__host").agg(F.count(F.lit(1)).alias("host_pages"))
+    lines = pages.select("__host", *["__page" for _ in page], F.explode(F.array_distinct(_hashes(F.col("__l")))).alias("__line")).where("__line is not null")
+    lines = lines.distinct() if copies_once else lines
     often = lines.groupBy("__host", "__line").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
     return often.join(totals, "__host").where(F.col("pages") > ratio * F.col("host_pages"))
 
 
-def drop_boilerplate(df: DataFrame, host_col: str, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(df: DataFrame, host_col: str, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """`df` with boilerplate lines gone from `text_col`, and n_lines, n_removed (columns so named are replaced).
 
     A host's boilerplate lines number at most its mean lines a page over `ratio`,
@@ -39,7 +44,7 @@ def drop_boilerplate(df: DataFrame, host_col: str, text_col: str = "text", ratio
     partition of a hot host. A null host is the host ''. A null text stays null
     (one empty line); a text with nothing removed is unchanged to the byte.
     """
-    heavy = stored(boilerplate_lines(df, host_col, text_col, ratio, min_pages).select("__host", "__line"))
+    heavy = stored(boilerplate_lines(df, host_col, text_col, ratio, min_pages, copies_once).select("__host", "__line"))
     sets = small_or_shuffled(stored(heavy.groupBy("__host").agg(F.collect_list("__line").alias("__heavy"))), 64 + 8 * _longest(heavy))
     keyed = df.withColumn("__host", F.coalesce(F.col(host_col).cast("string"), F.lit("")))
     lines = F.split(clean_text(text_col), "\n", -1)
