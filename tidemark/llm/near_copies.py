@@ -79,7 +79,7 @@ def _prefixes(common: np.ndarray):
                 for k, t in rows_of(b.slice(at, 256), 2):
                     s = shingles(t)
                     if n := len(s):
-                        late = np.isin(s, common)
+                        late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(n, bool)
                         ordered = np.concatenate((s[~late], s[late]))
                         rows.append((k, n, simhash(s), ordered[: n - -(-NUM * n // DEN) + 1]))
                 if rows:
@@ -119,7 +119,7 @@ def _may(na: Column, nb: Column, fa: Column, fb: Column) -> Column:
 def similar_components(texts: DataFrame) -> DataFrame:
     """(node, root) of the keys `k` whose `t` are linked, from rows (k, t) of different shingle sets."""
     seen = texts.where(F.pmod(F.xxhash64("k"), F.lit(SAMPLE)) == 0).mapInArrow(_all, "x long").groupBy("x").count().where(F.col("count") >= COMMON)
-    common = np.array([r.x for r in seen.orderBy(F.desc("count"), "x").limit(MOST_COMMON).collect()], np.int64).view(np.uint64)
+    common = np.sort(np.array([r.x for r in seen.orderBy(F.desc("count"), "x").limit(MOST_COMMON).collect()], np.int64).view(np.uint64))
     rows = stored(texts.select("k", "t").mapInArrow(_prefixes(common), "x long, k long, n long, f long"))
     groups = stored(rows.groupBy("x").agg(F.count(F.lit(1)).alias("all"), F.min(F.struct("n", "k", "f")).alias("c")).where("all > 1"))
     shared = stored(rows.join(groups, "x").select("x", "k", "n", "f", "c"))
