@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import clean_text, rows_of, stored
-from tidemark.llm.tokens import END_ID, default_path, encoder
+from tidemark.llm.tokens import default_path, encoded, encoder
 
 #: Fixed values: (ids, bits) of selectors 1 to 15.
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60), (120, 0)]
@@ -158,7 +158,7 @@ def decode(words: np.ndarray, blocks: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
-def write_chunk(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
+def write_chunk(doc_ids: list[int | None], counts: list[int] | np.ndarray, ids: np.ndarray) -> bytes:
     words, blocks = encode(ids)
     head = MAGIC + struct.pack("<I4Q", BLOCK, len(doc_ids), len(ids), len(blocks), len(words))
     docs = np.array([NULL_ID if d is None else d for d in doc_ids], "<i8")
@@ -185,26 +185,25 @@ def _encode_part(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end = encoder(path), END_ID.to_bytes(4, "little")
         part, chunk, before = TaskContext.get().partitionId(), 0, 0
         docs: list = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            data = write_chunk(docs, [len(p) // 4 for p in parts], ids)
+            ids, each = np.concatenate(parts), np.concatenate(counts)
+            data = write_chunk(docs, each, ids)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "chunk": pa.array([chunk], pa.int64()), "before": pa.array([before], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "data": pa.array([data], pa.binary())})
 
-        for b in batches:
-            for d, t in rows_of(b, 2):
-                got = enc.encode(t) + end
-                docs.append(d)
-                parts.append(got)
-                held += len(got) // 4
-                if held >= CHUNK_IDS:
-                    yield flush()
-                    chunk, before, docs, parts, held = chunk + 1, before + held, [], [], 0
+        for (names,), ids, each in encoded(encoder(path), batches, 1, [0], CHUNK_IDS):
+            docs += names
+            parts.append(ids)
+            counts.append(each)
+            held += len(ids)
+            if held >= CHUNK_IDS:
+                yield flush()
+                chunk, before, docs, parts, counts, held = chunk + 1, before + held, [], [], [], 0
         if docs:
             yield flush()
 
@@ -215,16 +214,17 @@ def write_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Tokenise whole texts and write them in ascending id order as Simple-8b chunks.
 
     One exchange by id range carries the texts; ties of the id are ordered by the
-    text's hash and the row's place, and split over tasks like any other rows.
-    Each task streams its range into chunks of about CHUNK_IDS ids, held one at a
-    time. The chunks are rows of a Parquet dataset in the shared folder, so that
+    text's hash, and rows equal in both can be split by the input partition they
+    come from, which is the same if a task runs again. Each task streams its range
+    into chunks of about CHUNK_IDS ids, held one at a time. The chunks are rows of a Parquet dataset in the shared folder, so that
     Spark's commit keeps exactly one copy of each task's; the returned DataFrame
     reads it: part (ascending with the ids), chunk, before (ids of the part before
     it), n_ids, data. Ids are 64-bit integers; null ids come first; a null text is
-    empty and has the end id alone.
+    empty and has the end id alone. Repeated rows are written each. An empty table
+    gives no chunks. Other columns are not read, whatever their names.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("__id"), clean_text(text_col).alias("__t"), F.xxhash64(text_col).alias("__h"), F.monotonically_increasing_id().alias("__r"))
-    order = ["__id", "__h", "__r"]
+    rows = df.select(F.col(id_col).cast("long").alias("__id"), clean_text(text_col).alias("__t"), F.xxhash64(text_col).alias("__h"), F.spark_partition_id().alias("__p"))
+    order = ["__id", "__h", "__p"]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("__id", "__t")
     chunks = dealt.mapInArrow(_encode_part(tokenizer or default_path()), "part int, chunk long, before long, n_ids long, data binary")
     return stored(chunks, "zstd")
