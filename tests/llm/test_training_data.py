@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,13 +98,24 @@ def test_token_output(docs, rows, empty, spark):
 
 
 def test_full_caches_still_answer(monkeypatch):
-    monkeypatch.setattr(tokens, "CHUNKS", 2)
-    monkeypatch.setattr(tokens, "PIECES", 2)
+    monkeypatch.setattr(tokens, "PIECES", 20)
     enc = tokens.Encoder(tokens.default_path())
     for _, t in fixture_rows():
         assert enc.encode(t or "") == encoded(t)[:-1].tobytes()
 
 
+@pytest.mark.parametrize("window", [64, 4 << 20])
+def test_pieces_are_the_librarys(window, monkeypatch):
+    monkeypatch.setattr(tokens, "WINDOW_BYTES", window)
+    r = random.Random(3)
+    alphabet = [" ", " ", "\n", "a", "b", "Z", "é", "1", "9", ".", "'", "'s", "'re", "—", "\u00a0", "日", "😀", "\t", "²", "ß", "\x0b", "\x00", "I'll", " don't", "word word word "]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(5000)] + [None, ""]
+    ids, counts = tokens.Encoder(tokens.default_path()).encode_array(pa.array(texts).slice(1))
+    ends = np.cumsum(counts)
+    for t, a, b in zip(texts[1:], ends - counts, ends, strict=True):
+        assert ids[a:b].tolist() == encoded(t)[:-1].tolist()
+
+
 # 2 and 4: exact repeats
 
 
@@ -180,7 +192,7 @@ def test_common_prefixes_by_brute_force():
 
 
 def test_packing(docs, rows, empty):
-    got = packing.retrieval_packing(docs, shard_bytes=20_000).collect()
+    got = packing.retrieval_packing(docs, shard_ids=6000, shard_docs=12).collect()
     at, where = Counter(), {}
     texts = dict(rows)
     for g in sorted(got, key=lambda g: (g.doc_id, g.start)):
@@ -202,16 +214,50 @@ def test_packing(docs, rows, empty):
     assert packing.retrieval_packing(empty).count() == 0
 
 
+def brute_bm25(docs, seed):
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    counts = [Counter(d) for d in docs]
+    df = Counter(t for c in counts for t in c)
+    idf = {t: np.log(1 + (n - x + 0.5) / (x + 0.5)) for t, x in df.items()}
+    return [sum(idf[t] * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in counts[seed] if t in c) for c, d in zip(counts, docs, strict=True)]
+
+
+@pytest.mark.parametrize("square", [0, 6000])
+def test_scores_count_every_term(square, monkeypatch):
+    monkeypatch.setattr(packing, "SQUARE", square)
+    r = random.Random(9)
+    docs = [[min(int(r.expovariate(0.1)), 60) for _ in range(r.randint(1, 40))] for _ in range(60)]
+    index = packing.Index(np.array([t for d in docs for t in d], np.uint32), np.array([len(d) for d in docs]))
+    free = np.ones(len(docs), bool)
+    for seed in range(len(docs)):
+        want = np.array(brute_bm25(docs, seed))
+        got = index.scores(seed)
+        others = np.arange(len(docs)) != seed  # a seed's ids that it has alone score nobody else
+        assert np.allclose(got[others], want[others], rtol=1e-5)
+        order = list(index.neighbours(seed, free))
+        assert all(want[a] >= want[b] - 1e-4 for a, b in zip(order, order[1:]) if seed not in (a, b))
+        assert set(order) - {seed} == {k for k in range(len(docs)) if want[k] > 0 and k != seed}
+
+
 def test_neighbours_are_lexical():
     a, b, c = [1, 2, 3, 4, 50] * 20, [1, 2, 3, 4, 60] * 20, [7, 8, 9, 10, 11] * 20
-    docs = [a, c, b, c[::-1]] + [[100 + i] * 30 for i in range(40)]
-    lengths = np.array([len(d) for d in docs])
-    index = packing.Index(np.array([t for d in docs for t in d], np.uint32), lengths)
+    docs = [a, c, b, c[::-1], a] + [[100 + i] * 30 for i in range(40)]
+    copies = packing.Copies([np.array(d, "<u4").tobytes() for d in docs])
     used = np.zeros(len(docs), bool)
     used[0] = True
-    assert index.neighbours(0, used).tolist() == [2]
-    used[0], used[1] = False, True
-    assert index.neighbours(1, used).tolist() == [3]
+    assert list(copies.neighbours(0, used)) == [4, 2]  # its copy, then what shares terms
+    used[1] = True
+    assert list(copies.neighbours(1, used)) == [3]
+
+
+def test_copies_share_a_shard_and_hot_keys_split(spark):
+    r = random.Random(4)
+    rows = [(i, rng_words(r, 60)) for i in range(100)]
+    rows += [(200 + i, t) for i, t in rows[:50]] + [(1000 + i, "same text again and again") for i in range(200)]
+    got = packing.retrieval_packing(spark.createDataFrame(rows, "doc_id long, text string"), shard_ids=8000, shard_docs=20).collect()
+    shard = {g.doc_id: g.sequence_id >> 32 for g in got}
+    assert all(shard[i] == shard[200 + i] for i in range(50))
+    assert len({shard[1000 + i] for i in range(200)}) >= 5
 
 
 # 5: sharding
