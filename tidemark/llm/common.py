@@ -20,6 +20,21 @@ SPACE = r"[ \t-\r]"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Bytes of rows that Spark hands to Python at once. Texts of 10,000 rows, Spark's own bound, would stand in memory
+#: several times over; a longer row goes alone.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, about to be given to Python; the session's bound on batch bytes is set once, where it is unset.
+
+    The setting is read when a plan runs, which for a returned DataFrame is after the operator is done, so it stays.
+    """
+    if df.sparkSession.conf.get(BATCH, None) is None:
+        df.sparkSession.conf.set(BATCH, str(BATCH_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

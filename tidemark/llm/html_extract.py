@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import boosting
-from tidemark.llm.common import clean_text
+from tidemark.llm.common import clean_text, small_batches
 
 #: Generated pages that the models are fitted on.
 TRAINING_PAGES = 500
@@ -360,6 +360,6 @@ def extract_main_text(df: DataFrame, html_col: str = "html", pages: int = TRAINI
                 found = extract_all(part.column(part.num_columns - 1).to_pylist(), fitted)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.string())], [*rest, "main_text"])
 
-    out = df.select(*rest, clean_text(html_col).alias("__html"))
+    out = small_batches(df).select(*rest, clean_text(html_col).alias("__html"))
     schema = df.select(*rest).schema.add("main_text", "string")
     return out.mapInArrow(run, schema)

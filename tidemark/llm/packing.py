@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import clean_text, small_or_shuffled, stored
+from tidemark.llm.common import clean_text, small_batches, small_or_shuffled, stored
 from tidemark.llm.repeats import gram_hashes, mix
 from tidemark.llm.tokens import default_path, encoded, encoder
 
@@ -229,7 +229,7 @@ def retrieval_packing(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stays null; repeated rows are documents of their own; ties of a score go by id,
     then ids. An empty table gives no rows; other columns are not read.
     """
-    plain = df.select(F.col(id_col).cast("long").alias("__id"), clean_text(text_col).alias("__t"))
+    plain = small_batches(df).select(F.col(id_col).cast("long").alias("__id"), clean_text(text_col).alias("__t"))
     rows = stored(plain.mapInArrow(_encode_keyed(tokenizer or default_path()), "__id long, __ids binary, __n long, __k long"))
     weight = F.sum(F.greatest(F.col("__n") / shard_ids, F.lit(1.0) / shard_docs))  # in shards
     keys = rows.groupBy("__k").agg(weight.alias("w"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import clean_text, drop_stored, rows_of, small_or_shuffled, stored
+from tidemark.llm.common import clean_text, drop_stored, rows_of, small_batches, small_or_shuffled, stored
 
 #: Windows of a text handled at once; longer texts go in overlapping parts.
 PART = 1 << 19
@@ -182,7 +182,7 @@ def repeated_runs(
     for anchors, then the representatives' texts are cut out. What grows with the
     input is shuffled at every size, and nothing of it is broadcast.
     """
-    docs = keyed(df, id_col, text_col)
+    docs = keyed(small_batches(df), id_col, text_col)
     rows = stored(docs.select("id", "h", "t").mapInArrow(_anchor_rows(kind), "a long, c long, id long, h long, i long, n int, o int"))
     twice = stored(rows.groupBy("a").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select("a"))
     seen = stored(rows.join(twice, "a"))

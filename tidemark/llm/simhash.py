@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import clean_text, rows_of, small_or_shuffled, stored
+from tidemark.llm.common import clean_text, rows_of, small_batches, small_or_shuffled, stored
 from tidemark.llm.components import components
 
 SEED = 42
@@ -182,7 +182,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     no words, so fingerprint zero, linked like any other. Equal fingerprints are
     one node, so copies cost one row each and no pairs.
     """
-    plain = df.select(F.col(id_col).alias("__id"), clean_text(text_col).alias("__t"))
+    plain = small_batches(df).select(F.col(id_col).alias("__id"), clean_text(text_col).alias("__t"))
     kind = plain.schema["__id"].dataType.simpleString()
     marked = stored(plain.mapInArrow(_fingerprints, f"__id {kind}, __fp long"))
     classes = stored(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min("__id").alias("rep")))

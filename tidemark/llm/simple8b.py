@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import clean_text, rows_of, stored
+from tidemark.llm.common import clean_text, rows_of, small_batches, stored
 from tidemark.llm.tokens import default_path, encoded, encoder
 
 #: Fixed values: (ids, bits) of selectors 1 to 15.
@@ -223,7 +223,7 @@ def write_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty and has the end id alone. Repeated rows are written each. An empty table
     gives no chunks. Other columns are not read, whatever their names.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("__id"), clean_text(text_col).alias("__t"), F.xxhash64(text_col).alias("__h"), F.spark_partition_id().alias("__p"))
+    rows = small_batches(df).select(F.col(id_col).cast("long").alias("__id"), clean_text(text_col).alias("__t"), F.xxhash64(text_col).alias("__h"), F.spark_partition_id().alias("__p"))
     order = ["__id", "__h", "__p"]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("__id", "__t")
     chunks = dealt.mapInArrow(_encode_part(tokenizer or default_path()), "part int, chunk long, before long, n_ids long, data binary")
