@@ -258,6 +258,7 @@ def test_copies_share_a_shard_and_hot_keys_split(spark):
     shard = {g.doc_id: g.sequence_id >> 32 for g in got}
     assert all(shard[i] == shard[200 + i] for i in range(50))
     assert len({shard[1000 + i] for i in range(200)}) >= 5
+    assert max(Counter(shard.values()).values()) <= 60
 
 
 # 5: sharding

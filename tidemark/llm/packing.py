@@ -170,7 +170,7 @@ def _keys(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     least = np.minimum.reduceat(runs, ends - counts)
     short = counts < RUN
     least[short] = mix(units[(ends - counts)[short]] + counts[short].astype(np.uint64))
-    return (least >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+    return (mix(least) >> np.uint64(64 - KEY_BITS)).astype(np.int64)  # a least hash is small: mixed, keys are even again
 
 
 def _encode_keyed(path: str):
