@@ -84,7 +84,7 @@ class Index:
 class Copies:
     """An index over different documents that answers with all documents: a seed's copies first, then each neighbour's."""
 
-    def __init__(self, raws: list[bytes]) -> None:
+    def __init__(self, raws: list[bytes], width: int = 4) -> None:
         number: dict[bytes, int] = {}
         self.of = [number.setdefault(r, len(number)) for r in raws]
         self.members: list[list[int]] = [[] for _ in number]
@@ -92,8 +92,8 @@ class Copies:
             self.members[e].append(d)
         self.left = np.array([len(m) for m in self.members])
         self.next = [0] * len(number)
-        lengths = np.array([len(r) // ID_BYTES for r in number], np.int64)
-        self.index = Index(np.frombuffer(b"".join(number), "<u4"), lengths)
+        lengths = np.array([len(r) // width for r in number], np.int64)
+        self.index = Index(np.frombuffer(b"".join(number), f"<u{width}"), lengths)
 
     def _unused(self, entry: int, used: np.ndarray) -> Iterator[int]:
         mine = self.members[entry]
@@ -111,9 +111,6 @@ class Copies:
             yield from self._unused(e, used)
 
 
-ID_BYTES = 4
-
-
 def pack(lengths: list[int], neighbours, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset): windows filled greedily, cut documents going on in the next.
 
@@ -173,25 +170,26 @@ def _keys(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return (mix(least) >> np.uint64(64 - KEY_BITS)).astype(np.int64)  # a least hash is small: mixed, keys are even again
 
 
-def _encode_keyed(path: str):
+def _encode_keyed(path: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (names,), ids, counts in encoded(encoder(path), batches, 1, [0]):
-            offsets = np.concatenate(([0], np.cumsum(counts) * ID_BYTES))
-            raw = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids)])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), raw.cast(pa.binary()), pa.array(counts, pa.int64()), pa.array(_keys(ids, counts))], ["__id", "__ids", "__n", "__k"])
+            offsets = np.concatenate(([0], np.cumsum(counts) * width)).astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(f"<u{width}"))])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), raw, pa.array(counts, pa.int64()), pa.array(_keys(ids, counts))], ["__id", "__ids", "__n", "__k"])
 
     return run
 
 
-def _pack_shards(window: int):
+def _pack_shards(window: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, docs, raws = None, [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            lengths = [len(r) // ID_BYTES for r in raws]
+            lengths = [len(r) // width for r in raws]
             out: list[tuple] = []
-            for d, start, n, seq, off in pack(lengths, Copies(raws).neighbours, window):
-                out.append((docs[d], start, n, raws[d][ID_BYTES * start : ID_BYTES * (start + n)], lengths[d], (now << 32) + seq, off))
+            for d, start, n, seq, off in pack(lengths, Copies(raws, width).neighbours, window):
+                ids = np.frombuffer(raws[d], f"<u{width}", n, width * start).astype("<u4").tobytes()
+                out.append((docs[d], start, n, ids, lengths[d], (now << 32) + seq, off))
                 if len(out) == 4096:
                     yield batch(out)
                     out = []
@@ -230,7 +228,9 @@ def retrieval_packing(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     then ids. An empty table gives no rows; other columns are not read.
     """
     plain = small_batches(df).select(F.col(id_col).cast("long").alias("__id"), clean_text(text_col).alias("__t"))
-    rows = stored(plain.mapInArrow(_encode_keyed(tokenizer or default_path()), "__id long, __ids binary, __n long, __k long"))
+    path = tokenizer or default_path()
+    width = 2 if encoder(path).whole.get_vocab_size() <= 1 << 16 else 4  # bytes of an id until the result
+    rows = stored(plain.mapInArrow(_encode_keyed(path, width), "__id long, __ids binary, __n long, __k long"), "zstd")
     weight = F.sum(F.greatest(F.col("__n") / shard_ids, F.lit(1.0) / shard_docs))  # in shards
     keys = rows.groupBy("__k").agg(weight.alias("w"))
     hot = stored(keys.where("w > 1").select("__k", F.ceil("w").alias("__parts")))
@@ -242,4 +242,4 @@ def retrieval_packing(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shard = F.when(F.col("__parts").isNull(), cool).otherwise(shards + F.pmod(F.xxhash64("__k", split), F.lit(1 << 30)))
     marked = rows.join(small_or_shuffled(hot, 16), "__k", "left").select(shard.alias("__s"), "__id", "__ids")
     dealt = marked.repartition(parts, "__s").sortWithinPartitions("__s", "__id", "__ids")
-    return dealt.mapInArrow(_pack_shards(window), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return dealt.mapInArrow(_pack_shards(window, width), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -21,9 +21,9 @@ import pyarrow.compute as pc
 
 END_ID = 0
 #: Pieces whose ids are kept; beyond, the half that was met last stays.
-PIECES = 600_000
+PIECES = 300_000
 #: Bytes of text whose pieces are found at once.
-WINDOW_BYTES = 4 << 20
+WINDOW_BYTES = 8 << 20
 
 HARD, LETTER, NUMBER, OTHER, SPACE, BLANK = range(6)
 
