@@ -3,7 +3,10 @@
 import random
 from itertools import combinations
 
+import pytest
+
 import corpus_pipeline
+from tidemark.llm import near_copies
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -54,7 +57,9 @@ def stage(spark, rows):
     return sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect())
 
 
-def test_stage_keeps_what_a_brute_force_join_keeps(spark):
+@pytest.mark.parametrize("chunk", [near_copies.CHUNK, 3])
+def test_stage_keeps_what_a_brute_force_join_keeps(spark, chunk, monkeypatch):
+    monkeypatch.setattr(near_copies, "CHUNK", chunk)
     rows = table()
     want = survivors(rows)
     assert len(rows) - 150 < len(want) < len(rows) - 60
@@ -66,3 +71,10 @@ def test_stage_tells_rows_apart_by_id_and_text(spark):
     a, b, c = (" ".join(f"w{r.randrange(5000)}" for _ in range(50)) for _ in range(3))
     rows = [(3, a), (3, b), (3, b), (4, a), (None, b), (None, c), (None, c)]
     assert stage(spark, rows) == survivors(rows)
+
+
+def test_working_names_may_be_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, 6, 7), (2, "a b c", 5, 6, 7)], "doc_id long, text string, __key int, __gone int, t int")
+    got = near_copies.keep_one_similar(docs)
+    assert got.columns == docs.columns and [r.doc_id for r in got.collect()] == [1]
+    assert near_copies.keep_one_similar(docs.limit(0)).count() == 0

@@ -89,13 +89,29 @@ def drop_stored(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
-def small_or_shuffled(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
+def small_or_shuffled(df: DataFrame, row_bytes: int, limit: int = 32 << 20, per_item: tuple[str, int] | None = None) -> DataFrame:
     """Mark `df` (already stored) for broadcast if its counted rows fit `limit` bytes.
 
+    per_item: an array column and the bytes of one of its values, which count too.
     Beyond that the join is left to Spark, which shuffles both sides and splits
     skewed partitions.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    extra = F.sum(F.size(per_item[0]).cast("long")) * per_item[1] if per_item else F.lit(0)
+    size = df.agg((F.count(F.lit(1)) * row_bytes + F.coalesce(extra, F.lit(0))).alias("b")).first()["b"]
+    return F.broadcast(df) if size <= limit else df
+
+
+def free_names(df: DataFrame, names: list[str]) -> dict[str, str]:
+    """For each working column a name that no column of `df` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = {}
+    for name in names:
+        free = f"__{name}"
+        while free.lower() in taken:
+            free = f"_{free}"
+        out[name] = free
+        taken.add(free.lower())
+    return out
 
 
 def clean_text(text: str | Column) -> Column:

@@ -1,11 +1,11 @@
-"""Near-dedup at an exact Jaccard similarity of word shingles.
-
-Of any global order of shingles, two sets of similarity 0.8 or more share one of
-their first n - ceil(0.8 n) + 1. Documents that share such a shingle are
-candidates: first each with one document of its group (a star, so a large group
-costs a row a document), then all pairs of a group that the verified links leave
-in different components. Candidates differ by what two such sets can in size and
-SimHash; each is verified on its texts before it links.
+"""Near-dedup at an exact Jaccard similarity of word shingles, by SimHash and BK-trees.
+
+Documents that agree in a band of min-hashes are candidates; those that
+candidates join form a shard. Each shard is a BK-tree over SimHash fingerprints
+of the shingles, searched within RADIUS bits along the edges that can hold such
+a pair; each pair found is verified on the shingles before it links. A shard of
+more than CHUNK documents is taken band by band instead, and a large band as
+pairs of chunks, so that no task grows with a group.
 """
 
 from __future__ import annotations
@@ -14,42 +14,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import clean_text, drop_stored, rows_of, small_or_shuffled, stored
+from tidemark.llm.common import clean_text, drop_stored, free_names, rows_of, small_batches, small_or_shuffled, stored
 from tidemark.llm.components import components
+from tidemark.llm.repeats import mix
+from tidemark.llm.simhash import Forest, hook
 
-SEED = 42
 SHINGLE = 5
 #: Similarity that links, as a fraction.
 NUM, DEN = 4, 5
-#: SimHash bits in which a pair of that similarity may differ; sets of fewer shingles than LEAST are not asked.
-RADIUS, LEAST = 26, 32
-#: One document in so many is looked at for common shingles, which come last in the order; it only bears on speed.
-SAMPLE, COMMON = 16, 4
-MOST_COMMON = 200_000
+#: Bands of min-hashes and min-hashes in each: two sets at the least similarity agree in none with a chance of 1 in 90,000.
+BANDS, ROWS = 16, 3
+#: SimHash bits in which linked documents may differ: at the least similarity 10 on average, or 12 of very few shingles, with a deviation of 3.
+RADIUS = 26
+#: Documents that one BK-tree holds; larger shards are divided.
+CHUNK = 2000
+
+_WORD = np.uint64(0x9E3779B97F4A7C15)
+_HASHES = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted hashes of the different lower-cased five-word shingles; all words are one shingle where there are fewer."""
-    from xxhash import xxh64_intdigest
+    from xxhash import xxh3_64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= SHINGLE:
-        return np.array([xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-SHINGLE] + 1)).tolist()
-    return np.unique(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)], np.uint64))
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Jaccard of two sorted sets is at least NUM / DEN."""
-    shared = len(a) + len(b) - len(np.union1d(a, b))
-    return DEN * shared >= NUM * (len(a) + len(b) - shared)
+    h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+    n = min(SHINGLE, len(h))
+    out = np.full(len(h) - n + 1, n, np.uint64)
+    for k in range(n):
+        out = out * _WORD + h[k : len(h) - n + 1 + k]
+    return np.unique(mix(out))
 
 
 def simhash(hashes: np.ndarray) -> int:
@@ -57,113 +56,155 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of min-hashes of a set; none of an empty one."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.array([np.min(hashes * a) for a in _HASHES]) if len(hashes) > 4096 else (hashes * _HASHES[:, None]).min(axis=1)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        key = key * _WORD + mix(least[k::ROWS])
+    return mix(key).view(np.int64)
+
+
+class Sets:
+    """Sorted hash sets side by side; overlaps count shared members of one set with many."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(s) for s in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), self.size)
+        names, of, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        several = times[of] > 1
+        self.member, owner = of[several], owner[several]
+        self.start = np.searchsorted(owner, np.arange(len(sets) + 1))
+        self.mark = np.zeros(len(names), np.int64)
+
+    def overlaps(self, one: int, others: np.ndarray) -> np.ndarray:
+        mine = self.member[self.start[one] : self.start[one + 1]]
+        self.mark[mine] = 1
+        a, n = self.start[others], self.start[others + 1] - self.start[others]
+        ends = np.cumsum(n)
+        hit = np.concatenate(([0], np.cumsum(self.mark[self.member[np.repeat(a - ends + n, n) + np.arange(ends[-1])]])))
+        self.mark[mine] = 0
+        return hit[ends] - hit[ends - n]
+
+
+def linked(fp: np.ndarray, sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+    """For each document a fellow of its class, the same for all of a class; pairs of one part are left out where there are two parts."""
+    label = np.arange(len(sets))
+    table = Sets(sets)
+    two = bool((part != part[0]).any())
+    forest = Forest(fp, np.zeros(len(fp), np.int64))
+    for q, node in forest.links(np.arange(len(fp)), RADIUS):
+        few, many = np.minimum(table.size[q], table.size[node]), np.maximum(table.size[q], table.size[node])
+        ask = (q < node) & (DEN * few >= NUM * many)
+        if two:
+            ask &= part[q] != part[node]
+        order = np.argsort(q[ask], kind="stable")
+        q, node = q[ask][order], node[ask][order]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(q)) + 1, [len(q)])) if len(q) else np.zeros(1, np.int64)
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            one, others = int(q[a]), node[a:b]
+            others = others[label[others] != label[one]]
+            if len(others):
+                shared = table.overlaps(one, others)
+                others = others[DEN * shared >= NUM * (table.size[one] + table.size[others] - shared)]
+                hook(label, np.full(len(others), one), others)
+    return label
+
+
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh3_64_intdigest
 
     for b in batches:
-        found = [xxh3_64_intdigest(shingles(t).tobytes()) for _, _, t in rows_of(b, 3)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(found, np.uint64).view(np.int64))], ["__id", "__h", "__k"])
+        keys, found = [], []
+        for _, _, t in rows_of(b, 3):
+            s = shingles(t)
+            keys.append(xxh3_64_intdigest(s.tobytes()))
+            found.append(bands(s))
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+        m = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), m], ["__id", "__h", "k", "m"])
 
 
-def _all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for _, t in rows_of(b, 2):
-            yield pa.RecordBatch.from_arrays([pa.array(shingles(t).view(np.int64))], ["x"])
-
+        found = [shingles(t) for _, t in rows_of(b, 2)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([simhash(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), b.column(2)], ["k", "f", "s", "places"])
 
-def _prefixes(common: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                rows = []
-                for k, t in rows_of(b.slice(at, 256), 2):
-                    s = shingles(t)
-                    if n := len(s):
-                        late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(n, bool)
-                        ordered = np.concatenate((s[~late], s[late]))
-                        rows.append((k, n, simhash(s), ordered[: n - -(-NUM * n // DEN) + 1]))
-                if rows:
-                    times = [len(r[3]) for r in rows]
-                    columns = [np.concatenate([r[3] for r in rows]).view(np.int64), *(np.repeat(np.array([r[i] for r in rows], np.int64), times) for i in range(3))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["x", "k", "n", "f"])
 
-    return run
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, pair, part, k, f, s) in order of shard and pair -> links (u, v), one shard in memory."""
+    now, held = None, []
 
+    def flush() -> pa.RecordBatch:
+        k = np.array([r[1] for r in held], np.int64)
+        label = linked(np.array([r[2] for r in held], np.int64).view(np.uint64), [np.frombuffer(r[3], "<u8") for r in held], np.array([r[0] for r in held]))
+        off = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(k[off]), pa.array(k[label[off]])], ["u", "v"])
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        links, last, mine = [], None, None
-        for u, v, t, s in rows_of(b, 4):
-            if v != last:
-                last, mine = v, shingles(s)
-            if similar(mine, shingles(t)):
-                links.append((u, v))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], ["u", "v"])
-
-
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose texts are similar."""
-    left = stored(pairs.join(texts.select(F.col("k").alias("u"), F.col("t").alias("tu")), "u"))
-    both = left.join(texts.select(F.col("k").alias("v"), F.col("t").alias("tv")), "v").select("u", "v", "tu", "tv")
-    out = stored(both.mapInArrow(_verified, "u long, v long"))
-    drop_stored(left)
-    return out
-
-
-def _may(na: Column, nb: Column, fa: Column, fb: Column) -> Column:
-    """Size and SimHash of two sets allow the similarity."""
-    near = (F.bit_count(fa.bitwiseXOR(fb)) <= RADIUS) | (F.least(na, nb) < LEAST)
-    return (DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)) & near
-
-
-def similar_components(texts: DataFrame) -> DataFrame:
-    """(node, root) of the keys `k` whose `t` are linked, from rows (k, t) of different shingle sets."""
-    seen = texts.where(F.pmod(F.xxhash64("k"), F.lit(SAMPLE)) == 0).mapInArrow(_all, "x long").groupBy("x").count().where(F.col("count") >= COMMON)
-    common = np.sort(np.array([r.x for r in seen.orderBy(F.desc("count"), "x").limit(MOST_COMMON).collect()], np.int64).view(np.uint64))
-    rows = stored(texts.select("k", "t").mapInArrow(_prefixes(common), "x long, k long, n long, f long"))
-    groups = stored(rows.groupBy("x").agg(F.count(F.lit(1)).alias("all"), F.min(F.struct("n", "k", "f")).alias("c")).where("all > 1"))
-    shared = stored(rows.join(groups, "x").select("x", "k", "n", "f", "c"))
-    drop_stored(rows)
-    star = shared.where((F.col("k") != F.col("c.k")) & _may(F.col("n"), F.col("c.n"), F.col("f"), F.col("c.f")))
-    first = _links(stored(star.select(F.col("k").alias("u"), F.col("c.k").alias("v")).distinct()), texts)
-    roots = stored(components(first))
-    placed = shared.join(roots, F.col("k") == F.col("node"), "left").select("x", "k", "n", "f", F.coalesce("root", "k").alias("root"))
-    placed = stored(placed)
-    several = stored(placed.groupBy("x").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("x"))
-    left = stored(placed.join(several, "x"))
-    a, b = left.alias("a"), left.alias("b")
-    may = (F.col("a.root") < F.col("b.root")) & _may(F.col("a.n"), F.col("b.n"), F.col("a.f"), F.col("b.f"))
-    cross = a.join(b, "x").where(may).select(F.col("a.k").alias("u"), F.col("b.k").alias("v")).distinct()
-    second = _links(stored(cross), texts)
-    return components(first.union(second)) if not second.isEmpty() else roots
+        for shard, pair, *row in rows_of(b, 6):
+            if (shard, pair) != now:
+                if len(held) > 1:
+                    yield flush()
+                now, held = (shard, pair), []
+            held.append(row)
+    if len(held) > 1:
+        yield flush()
+
+
+def similar_components(marked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root) of the keys `k` whose texts are linked: `marked` has (k, m), `texts` a row (k, t) of each."""
+    rows = marked.select("k", F.explode("m").alias("x"))
+    shared = stored(rows.groupBy("x").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least <> most").select("x", "least"))
+    met = stored(rows.join(shared, "x").select("x", "k", "least").distinct())
+    near = stored(components(met.select(F.col("k").alias("u"), F.col("least").alias("v"))))
+    large = stored(near.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("root"))
+    place = lambda shard, pair, part: F.struct(shard.cast("long").alias("shard"), pair.cast("long").alias("pair"), part.cast("int").alias("part"))
+    places = near.join(small_or_shuffled(large, 8), "root", "left_anti").select(F.col("node").alias("k"), place(F.col("root"), F.lit(0), F.lit(0)).alias("p"))
+    if not large.isEmpty():
+        in_large = near.join(small_or_shuffled(large, 8), "root").select(F.col("node").alias("k"))
+        divided = stored(met.join(in_large, "k").select("k", "x"))
+        counts = divided.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+        mine = F.pmod(F.xxhash64("k"), F.col("chunks"))
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: place(F.col("x"), F.least(mine, c) * (1 << 20) + F.greatest(mine, c), mine))
+        places = places.union(divided.join(counts, "x").select("k", F.explode(pairs).alias("p")))
+    wanted = stored(places.groupBy("k").agg(F.collect_list("p").alias("places")))
+    full = stored(texts.join(wanted, "k").select("k", "t", "places").mapInArrow(_sets, "k long, f long, s binary, places array<struct<shard:long,pair:long,part:int>>"))
+    dealt = full.select("k", "f", "s", F.explode("places").alias("p")).repartition("p.shard", "p.pair").sortWithinPartitions("p.shard", "p.pair", "k")
+    links = stored(dealt.select("p.shard", "p.pair", "p.part", "k", "f", "s").mapInArrow(_verified, "u long, v long"))
+    drop_stored(full)
+    return components(links)
 
 
 def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`df` with one row of each component of documents linked by a similarity of 0.8 or more: that of the least id, nulls last.
 
     Rows are told apart by id and text, so repeated and null ids are rows like
-    others. Texts without words equal each other.
+    others, and rows equal in both are one. Texts without words (null, empty) equal
+    each other. Ties of the id go by the text's hash. An empty table stays empty.
     """
+    names = free_names(df, ["key", "gone"])
     key = [F.col(id_col).alias("__id"), F.xxhash64(clean_text(text_col)).alias("__h")]
-    plain = df.select(*key, clean_text(text_col).alias("__t"))
+    plain = small_batches(df).select(*key, clean_text(text_col).alias("t"))
     kind = plain.schema["__id"].dataType.simpleString()
-    marked = stored(plain.mapInArrow(_marks, f"__id {kind}, __h long, __k long"))
+    marked = stored(plain.mapInArrow(_marks, f"__id {kind}, __h long, k long, m array<long>"))
     order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__h").alias("h"))
-    classes = stored(marked.groupBy("__k").agg(F.min(order).alias("r")).select("__k", "r"))
+    classes = stored(marked.groupBy("k").agg(F.min(order).alias("r")))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    firsts = classes.select(F.col("__k").alias("k"), F.col("r.id").alias("i"), F.col("r.h").alias("h"))
-    texts = plain.join(firsts, same("__id", "i") & (F.col("__h") == F.col("h"))).select("k", F.col("__t").alias("t"))
-    texts = stored(texts.dropDuplicates(["k"]) if _repeats(marked) else texts)
-    roots = similar_components(texts)
-    named = stored(classes.join(roots, F.col("__k") == F.col("node"), "left").select("__k", "r", F.coalesce("root", "__k").alias("root")))
+    firsts = classes.select("k", F.col("r.id").alias("i"), F.col("r.h").alias("h"))
+    several = _repeats(marked)
+    texts = plain.join(firsts, same("__id", "i") & (F.col("__h") == F.col("h"))).select("k", "t")
+    roots = similar_components(marked.select("k", "m"), texts.dropDuplicates(["k"]) if several else texts)
+    named = stored(classes.join(roots, F.col("k") == F.col("node"), "left").select("k", "r", F.coalesce("root", "k").alias("root")))
     least = named.groupBy("root").agg(F.min("r").alias("r"))
-    keep = named.select("__k", "root").join(least, "root").select("__k", "r")
-    gone = marked.join(keep, "__k").where(~(same("__id", "r.id") & (F.col("__h") == F.col("r.h")))).select(F.col("__id").alias("__gone"), F.col("__h").alias("__gone_h")).distinct()
-    gone = small_or_shuffled(stored(gone), 24)
-    keyed = df.withColumn("__h", F.xxhash64(clean_text(text_col)))
-    out = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")) & (F.col("__h") == F.col("__gone_h")), "left_anti")
-    out = out.dropDuplicates([id_col, "__h"]) if _repeats(marked) else out
-    return out.drop("__h")
+    keep = named.select("k", "root").join(least, "root").select("k", "r")
+    gone = marked.select("__id", "__h", "k").join(keep, "k").where(~(same("__id", "r.id") & (F.col("__h") == F.col("r.h")))).select(F.struct(F.col("__id").alias("id"), F.col("__h").alias("h")).alias(names["gone"])).distinct()
+    gone = small_or_shuffled(stored(gone), 32)
+    keyed = df.withColumn(names["key"], F.struct(F.col(id_col).alias("id"), F.xxhash64(clean_text(text_col)).alias("h")))
+    out = keyed.join(gone, F.col(names["key"]).eqNullSafe(F.col(names["gone"])), "left_anti")
+    return (out.dropDuplicates([names["key"]]) if several else out).drop(names["key"])
 
 
 def _repeats(marked: DataFrame) -> bool:

@@ -116,7 +116,7 @@ class Forest:
                 work.append((q2, kid))
 
 
-def _hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+def hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Merge the classes of a[i] and b[i] in place; label points at least members."""
     while True:
         la, lb = label[a], label[b]
@@ -153,7 +153,7 @@ def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, shard = order[many], shard[many]
         forest = Forest(fp[order], shard)
         for q, node in forest.links(np.arange(len(order)), RADIUS):
-            _hook(label, ids[order[q]], ids[order[node]])
+            hook(label, ids[order[q]], ids[order[node]])
     off = np.flatnonzero(label != np.arange(len(uniq)))
     yield pa.RecordBatch.from_arrays([pa.array(uniq[off].view(np.int64)), pa.array(uniq[label[off]].view(np.int64))], ["u", "v"])
 
