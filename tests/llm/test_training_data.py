@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bwt_dedup, decontamination, html_extract, line_dedup, packing, quality, repeats, sharding, simhash, simple8b, suffix_tree_dedup, tokens
+from tidemark.llm import bwt_dedup, decontamination, html_extract, line_dedup, near_copies, packing, quality, repeats, sharding, simhash, simple8b, suffix_tree_dedup, tokens
 from tidemark.llm.common import let
 from tidemark.llm.components import components
 
@@ -455,7 +455,7 @@ def test_line_dedup(spark, empty):
 @pytest.mark.parametrize("few", [quality.FEW, 0])
 def test_base_features(docs, rows, few, monkeypatch):
     monkeypatch.setattr(quality, "FEW", few)
-    got = {g.doc_id: g for g in quality.base_features(docs).collect()}
+    got = {g.doc_id: g for g in quality.base_features(docs).select("__row.doc_id", "*").collect()}
     for d, t in rows:
         t = t or ""
         w = re.findall(WORD, t)
@@ -516,3 +516,64 @@ def test_decoding_never_contradicts():
             above[k] = above[page.parent[k]] or main[page.parent[k]]
             if main[k] and above[k]:
                 assert main[page.parent[k]]
+
+
+# every operator: columns with the names that work inside
+
+
+CLASHES = ["__row", "__size", "__rid", "__key", "__heavy", "__host", "__t", "__gone", "__bad", "__html", "__id", "__h", "__fp", "f_stop", "votes2", "k", "t", "id", "h", "a"]
+CALLS = {
+    "op1": (lambda d, b: simple8b.read_tokens(simple8b.write_tokens(d)), False),
+    "op2": (lambda d, b: bwt_dedup.drop_repeated_bytes(d), False),
+    "op3": (lambda d, b: packing.retrieval_packing(d), False),
+    "op4": (lambda d, b: suffix_tree_dedup.drop_repeated_words(d), False),
+    "op5": (lambda d, b: sharding.histogram_shards(d, 3).drop("slot", "shard"), True),
+    "op6": (lambda d, b: decontamination.contaminated(d, b), False),
+    "op6_rows": (lambda d, b: decontamination.decontaminate(d, b), True),
+    "op7": (lambda d, b: simhash.near_duplicates(d), False),
+    "op7_rows": (lambda d, b: simhash.keep_one(d), True),
+    "op8": (lambda d, b: line_dedup.drop_boilerplate(d, "source"), True),
+    "op9": (lambda d, b: quality.label_quality(d).drop("p_good"), True),
+    "op10": (lambda d, b: html_extract.extract_main_text(d, "text", pages=20), True),
+    "near": (lambda d, b: near_copies.keep_one_similar(d), True),
+}
+
+
+@pytest.mark.parametrize("name", CALLS)
+def test_columns_may_have_working_names(name, spark):
+    call, keeps = CALLS[name]
+    r = random.Random(2)
+    text = rng_words(r, 70)
+    rows = [(1, text, "s"), (2, text, "s"), (3, rng_words(r, 30), None), (4, None, "s"), (5, "", "u"), (6, "line\n" + rng_words(r, 500), "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    wide = docs.select("*", *[F.lit(7).alias(c) for c in CLASHES])
+    bench = spark.createDataFrame([(1, " ".join(text.split()[5:40]), 1, 2)], "item_id long, text string, __iw int, __item int")
+    narrow, full = call(docs, bench), call(wide, bench)
+    plain = lambda x: sorted((tuple(r) for r in x.select(*narrow.columns).collect()), key=str)
+    assert plain(full) == plain(narrow)
+    assert set(full.columns) == set(narrow.columns) | (set(CLASHES) if keeps else set())
+    if keeps:
+        assert full.where(" and ".join(f"`{c}` = 7" for c in CLASHES)).count() == full.count()
+
+
+def test_a_shared_folder_is_asked_for_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from tidemark.llm import common
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(ValueError, match="share"):
+        common.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+
+
+def test_shards_are_linked_some_at_a_time(monkeypatch, spark):
+    monkeypatch.setattr(simhash, "ROWS", 5)
+    r = random.Random(3)
+    base = [r.getrandbits(64) for _ in range(30)]
+    fps = sorted({b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for b in base for _ in range(4)} | set(base))
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in signed], "fp long"))
+    got = {x.node: x.root for x in components(links).collect()}
+    want = joined([(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3], signed)
+    assert {f: got.get(f, f) for f in signed} == want

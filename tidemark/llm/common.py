@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,11 +43,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (tests, one machine) a temporary folder is set once.
+    Where the setting is absent, a temporary folder is set once if all runs in one
+    process (tests); on a cluster, whose machines would each see their own, that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not given.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = given.get() if given.isDefined() else f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
@@ -101,6 +105,18 @@ def small_or_shuffled(df: DataFrame, row_bytes: int, limit: int = 32 << 20, per_
     return F.broadcast(df) if size <= limit else df
 
 
+ROW = "__row"
+
+
+def packed(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """The columns of a row (all, or those named) as one struct, so that working columns clash with none of them."""
+    return F.struct(*[df[f"`{c}`"].alias(c) for c in (df.columns if columns is None else columns)]).alias(ROW)
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    return [F.col(ROW).getField(c).alias(c) for c in columns]
+
+
 def free_names(df: DataFrame, names: list[str]) -> dict[str, str]:
     """For each working column a name that no column of `df` has, in any case of letters."""
     taken = {c.lower() for c in df.columns}

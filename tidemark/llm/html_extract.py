@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import boosting
-from tidemark.llm.common import clean_text, small_batches
+from tidemark.llm.common import ROW, clean_text, packed, small_batches, unpacked
 
 #: Generated pages that the models are fitted on.
 TRAINING_PAGES = 500
@@ -346,7 +346,8 @@ def extract_main_text(df: DataFrame, html_col: str = "html", pages: int = TRAINI
     """`df` with main_text (a column so named is replaced): the article of each page, its blocks joined by a line break.
 
     Character references are decoded, white space within a block is one space; a
-    page without main text gives ''; null html is empty. Every row is handled
+    page without main text gives ''; null html is empty; markup that nothing closes ends with the page. Repeated
+    rows are pages of their own, and an empty table stays empty. Every row is handled
     alone, whole, in batches of `batch` pages. The models (a few hundred kB at
     most) travel with the task.
     """
@@ -357,9 +358,9 @@ def extract_main_text(df: DataFrame, html_col: str = "html", pages: int = TRAINI
         for b in batches:
             for at in range(0, b.num_rows, batch):
                 part = b.slice(at, batch)
-                found = extract_all(part.column(part.num_columns - 1).to_pylist(), fitted)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.string())], [*rest, "main_text"])
+                found = extract_all(part.column(1).to_pylist(), fitted)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.string())], [ROW, "main_text"])
 
-    out = small_batches(df).select(*rest, clean_text(html_col).alias("__html"))
-    schema = df.select(*rest).schema.add("main_text", "string")
-    return out.mapInArrow(run, schema)
+    rows = small_batches(df).select(packed(df, rest), clean_text(html_col).alias("__html"))
+    schema = rows.select(ROW).schema.add("main_text", "string")
+    return rows.mapInArrow(run, schema).select(*unpacked(rest), "main_text")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import clean_text, small_or_shuffled, stored
+from tidemark.llm.common import clean_text, packed, small_or_shuffled, stored, unpacked
 
 RATIO = 0.05
-MIN_PAGES = 5
+#: A line repeats if it is on so many pages; hosts of fewer than MIN_PAGES / RATIO pages so have a higher ratio.
+MIN_PAGES = 3
 BLANKS = " \t\n\x0b\f\r"
 
 
@@ -42,22 +43,18 @@ def drop_boilerplate(df: DataFrame, host_col: str, text_col: str = "text", ratio
     so they travel as one array per host. The table of all hosts' arrays is
     broadcast if it is small, else joined by shuffle, where Spark splits the
     partition of a hot host. A null host is the host ''. A null text stays null
-    (one empty line); a text with nothing removed is unchanged to the byte.
+    (one empty line); a text with nothing removed is unchanged to the byte. Repeated
+    rows are pages of their own, or one page with `copies_once`; a line at the ratio
+    exactly stays. An empty table stays empty.
     """
     heavy = stored(boilerplate_lines(df, host_col, text_col, ratio, min_pages, copies_once).select("__host", "__line"))
-    sets = small_or_shuffled(stored(heavy.groupBy("__host").agg(F.collect_list("__line").alias("__heavy"))), 64 + 8 * _longest(heavy))
-    keyed = df.withColumn("__host", F.coalesce(F.col(host_col).cast("string"), F.lit("")))
-    lines = F.split(clean_text(text_col), "\n", -1)
+    sets = small_or_shuffled(stored(heavy.groupBy("__host").agg(F.collect_list("__line").alias("__heavy"))), 64, per_item=("__heavy", 8))
+    rest = [c for c in df.columns if c.lower() not in {"n_lines", "n_removed"}]
+    keyed = df.select(packed(df, rest), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("__host"), F.col(text_col).alias("__text"))
+    lines = F.split(clean_text("__text"), "\n", -1)
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__heavy", F.xxhash64(F.btrim(x, F.lit(BLANKS)))) & (F.btrim(x, F.lit(BLANKS)) != ""), F.lit(False)))
     out = keyed.join(sets, "__host", "left").withColumn("__kept", F.when(F.col("__heavy").isNotNull(), kept))
     n_lines = F.size(lines).cast("long")
-    rest = [c for c in df.columns if c.lower() not in {"n_lines", "n_removed"}]
     removed = F.coalesce(n_lines - F.size("__kept"), F.lit(0)).cast("long")
-    text = F.when(F.col("__heavy").isNull() | (removed == 0), F.col(text_col)).otherwise(F.array_join("__kept", "\n"))
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in rest], n_lines.alias("n_lines"), removed.alias("n_removed"))
-
-
-def _longest(heavy: DataFrame) -> int:
-    """Boilerplate lines of the host with most of them."""
-    most = heavy.groupBy("__host").count().agg(F.max("count")).first()[0]
-    return most or 0
+    text = F.when(F.col("__heavy").isNull() | (removed == 0), F.col("__text")).otherwise(F.array_join("__kept", "\n"))
+    return out.select(*[text.alias(c) if c == text_col else x for c, x in zip(rest, unpacked(rest), strict=True)], n_lines.alias("n_lines"), removed.alias("n_removed"))

@@ -166,10 +166,11 @@ def similar_components(marked: DataFrame, texts: DataFrame) -> DataFrame:
     if not large.isEmpty():
         in_large = near.join(small_or_shuffled(large, 8), "root").select(F.col("node").alias("k"))
         divided = stored(met.join(in_large, "k").select("k", "x"))
-        counts = divided.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
-        mine = F.pmod(F.xxhash64("k"), F.col("chunks"))
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: place(F.col("x"), F.least(mine, c) * (1 << 20) + F.greatest(mine, c), mine))
-        places = places.union(divided.join(counts, "x").select("k", F.explode(pairs).alias("p")))
+        counts = stored(divided.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")).where("chunks > 1"))
+        chunks = F.coalesce("chunks", F.lit(1).cast("long"))
+        mine = F.pmod(F.xxhash64("k"), chunks)
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda c: place(F.col("x"), F.least(mine, c) * (1 << 20) + F.greatest(mine, c), mine))
+        places = places.union(divided.join(small_or_shuffled(counts, 24), "x", "left").select("k", F.explode(pairs).alias("p")))
     wanted = stored(places.groupBy("k").agg(F.collect_list("p").alias("places")))
     full = stored(texts.join(wanted, "k").select("k", "t", "places").mapInArrow(_sets, "k long, f long, s binary, places array<struct<shard:long,pair:long,part:int>>"))
     dealt = full.select("k", "f", "s", F.explode("places").alias("p")).repartition("p.shard", "p.pair").sortWithinPartitions("p.shard", "p.pair", "k")

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import clean_text, let, stored, words_of
+from tidemark.llm.common import ROW, clean_text, let, packed, stored, unpacked, words_of
 
 #: The symbols that count as noise.
 SYMBOLS = "[#*$%&|<>]"
@@ -88,9 +88,9 @@ def _features(text: Column, w: Column) -> Column:
 
 
 def base_features(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the rules' ratios f_*."""
+    """Each row as a struct (common.ROW) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the rules' ratios f_*."""
     both = let(clean_text(text_col), lambda t: let(words_of(t), lambda w: _features(t, w)))
-    return df.withColumn("__q", both).select(*df.columns, "__q.*")
+    return df.select(packed(df), both.alias("__q")).select(ROW, "__q.*")
 
 
 def votes() -> dict[str, Column]:
@@ -144,8 +144,7 @@ def label_quality(df: DataFrame, text_col: str = "text", threshold: float = 0.5,
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     cast = votes()
-    plain = df.select(*keep, F.col(text_col).alias("__t"))
-    voted = stored(base_features(plain, "__t").select(*keep, *base, F.array(*[cast[r] for r in RULES]).alias("votes")))
+    voted = stored(base_features(df, text_col).select(F.struct(*unpacked(keep)).alias(ROW) if keep else F.lit(0).alias(ROW), *base, F.array(*[cast[r] for r in RULES]).alias("votes")))
     counts = voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
     patterns = sorted((tuple(r["votes"]), r["n"]) for r in counts)
     p_good, model = fit_label_model(patterns)
@@ -156,4 +155,5 @@ def label_quality(df: DataFrame, text_col: str = "text", threshold: float = 0.5,
         odds = odds + F.when(vote == GOOD, weight[GOOD]).when(vote == BAD, weight[BAD]).otherwise(weight[ABSTAIN])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     good = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), odds))))
-    return voted.withColumns({"p_good": good, "base_failed": failed}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+    out = voted.withColumns({"p_good": good, "base_failed": failed}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+    return out.select(*unpacked(keep), *[c for c in out.columns if c != ROW])

@@ -10,11 +10,12 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import clean_text, drop_stored, stored
+from tidemark.llm.common import clean_text, packed, stored, unpacked
 
 #: Keys are the low 63 bits of a hash, so that they sort as signed longs.
 KEY_BITS = 63
-FIRST_BITS = 12
+#: Bits of the first round's bins: the least, and the most, at which the driver sees a million counts.
+FIRST_BITS, MOST_BITS = 12, 20
 NEXT_BITS = 9
 
 
@@ -31,14 +32,14 @@ def _histogram(rows: DataFrame, shift: int, within: list[int] | None, parent_shi
     return {r["bin"]: (r["b"], r["n"]) for r in found.collect()}
 
 
-def find_splitters(rows: DataFrame, n_shards: int, tolerance: float) -> tuple[list[int], dict[int, tuple[int, int]], int]:
+def find_splitters(rows: DataFrame, n_shards: int, tolerance: float, first_bits: int = FIRST_BITS) -> tuple[list[int], dict[int, tuple[int, int]], int]:
     """Keys that begin shards 1 to n_shards-1, with the first histogram and its shift.
 
     A round counts bytes below evenly spaced probes; each next round puts new
     probes into those bins alone that hold an unmet target. It ends when each
     splitter is within `tolerance` of a shard's share, or its bin is one key.
     """
-    shift = KEY_BITS - FIRST_BITS
+    shift = KEY_BITS - first_bits
     first = _histogram(rows, shift, None, 0)
     total = sum(b for b, _ in first.values())
     share = total / n_shards
@@ -88,17 +89,21 @@ def histogram_shards(
 
     Returns the input's columns (but those named like an output) and size, shard,
     slot (gapless from 0 in each shard, in key order) and no rows for an empty
-    input. Null ids are ordinary rows.
+    input. Null ids and repeated rows are ordinary rows.
     """
     rid = F.monotonically_increasing_id()
     size = F.octet_length(clean_text(text_col)).cast("long") + 8
-    rows = stored(df.select("*", size.alias("__size"), rid.alias("__rid")).withColumn("__key", F.xxhash64(id_col, "__rid").bitwiseAND((1 << KEY_BITS) - 1)))
+    keep = [c for c in df.columns if c.lower() not in {"size", "shard", "slot"}]
+    drawn = df.select(packed(df, keep), size.alias("__size"), rid.alias("__rid"), F.col(id_col).alias("__id"))
+    rows = stored(drawn.withColumn("__key", F.xxhash64("__id", "__rid").bitwiseAND((1 << KEY_BITS) - 1)).drop("__id"))
     keys = rows.select("__key", "__size")
-    splitters, first, shift = find_splitters(keys, n_shards, tolerance)
+    total = keys.agg(F.sum("__size").alias("b")).first()["b"] or 0
+    bits = min(MOST_BITS, max(FIRST_BITS, (total // part_bytes).bit_length() + 2))  # bins of a quarter of a part
+    splitters, first, shift = find_splitters(keys, n_shards, tolerance, bits)
 
     coarse, filled = [], 0  # part of each first bin, before the shard's number is added
     at = 0
-    for b in range(1 << FIRST_BITS):
+    for b in range(1 << bits):
         coarse.append(at)
         filled += first.get(b, (0, 0))[0]
         if filled >= part_bytes:
@@ -119,9 +124,4 @@ def histogram_shards(
         before[s] = base[p] + n
     dealt = place(rows).repartitionById(n_parts, F.col("__part"))
     slot = F.row_number().over(Window.partitionBy("__part").orderBy("__key", "__rid")) - 1 + F.element_at(_constant(base), F.col("__part") + 1)
-    keep = [c for c in df.columns if c.lower() not in {"size", "shard", "slot"}]
-    return dealt.select(*keep, F.col("__size").alias("size"), F.col("__shard").alias("shard"), slot.cast("long").alias("slot"))
-
-
-def release(df: DataFrame) -> None:
-    drop_stored(df)
+    return dealt.select(*unpacked(keep), F.col("__size").alias("size"), F.col("__shard").alias("shard"), slot.cast("long").alias("slot"))

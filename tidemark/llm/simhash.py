@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import clean_text, rows_of, small_batches, small_or_shuffled, stored
+from tidemark.llm.common import clean_text, free_names, rows_of, small_batches, small_or_shuffled, stored
 from tidemark.llm.components import components
 
 SEED = 42
@@ -129,12 +129,28 @@ def hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
+#: Rows of shards that a task links at once; a single shard is at most two chunks.
+ROWS = 400_000
+
+
 def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning links of each shard of the task: rows (block, pair, chunk, fp), the shards complete."""
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    t = pa.Table.from_batches(parts)
+    """Spanning links of rows (block, value, pair, fp) in that order, some whole shards at a time."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b.select(["block", "value", "pair", "fp"]))
+        if sum(x.num_rows for x in held) >= ROWS:
+            t = pa.Table.from_batches(held).combine_chunks()
+            key = np.stack([t[c].to_numpy().astype(np.int64) for c in ("block", "value", "pair")])
+            last = int(np.searchsorted((key != key[:, -1:]).any(axis=0)[::-1], True))  # rows of the last shard
+            if last < t.num_rows:
+                yield _links_of(t.slice(0, t.num_rows - last))
+            held = t.slice(t.num_rows - last).to_batches()
+    if held and (t := pa.Table.from_batches(held)).num_rows:
+        yield _links_of(t)
+
+
+def _links_of(t: pa.Table) -> pa.RecordBatch:
+    """Spanning links of complete shards."""
     block, pair = t["block"].to_numpy().astype(np.uint64), t["pair"].to_numpy()
     fp = t["fp"].to_numpy().view(np.uint64)
     shift = block * np.uint64(16)
@@ -155,7 +171,7 @@ def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for q, node in forest.links(np.arange(len(order)), RADIUS):
             hook(label, ids[order[q]], ids[order[node]])
     off = np.flatnonzero(label != np.arange(len(uniq)))
-    yield pa.RecordBatch.from_arrays([pa.array(uniq[off].view(np.int64)), pa.array(uniq[label[off]].view(np.int64))], ["u", "v"])
+    return pa.RecordBatch.from_arrays([pa.array(uniq[off].view(np.int64)), pa.array(uniq[label[off]].view(np.int64))], ["u", "v"])
 
 
 def fingerprint_links(classes: DataFrame) -> DataFrame:
@@ -170,7 +186,7 @@ def fingerprint_links(classes: DataFrame) -> DataFrame:
         mine = F.pmod(F.xxhash64("fp"), F.coalesce(chunks, F.lit(1))).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.coalesce(chunks, F.lit(1)) - 1), lambda c: F.least(mine, c) * 65536 + F.greatest(mine, c))
         rows = rows.join(small_or_shuffled(large, 32), ["block", "value"], "left").withColumn("pair", F.explode(pairs)).drop("n")
-    dealt = rows.repartition("block", "value", "pair").select("block", "pair", "fp")
+    dealt = rows.repartition("block", "value", "pair").select("block", "value", "pair", "fp").sortWithinPartitions("block", "value", "pair")
     return dealt.mapInArrow(_shard_links, "u long, v long")
 
 
@@ -200,9 +216,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Rows that repeat the least id are reduced to one.
     """
     found = stored(near_duplicates(df, id_col, text_col).select(id_col, "component_id"))
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    name = free_names(df, ["gone"])["gone"]
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
     gone = small_or_shuffled(stored(gone), 16)
-    out = df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    out = df.join(gone, F.col(id_col) == F.col(name), "left_anti")
     orphans = found.where(F.col(id_col).isNull()).agg(F.count(F.lit(1)).alias("n"), F.count("component_id").alias("named")).first()
     if orphans["n"] and orphans["n"] == orphans["named"]:
         out = out.where(F.col(id_col).isNotNull())
