@@ -13,6 +13,7 @@ import functools
 import html
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,11 +57,33 @@ TOKEN_FEATURES = {
 TOKEN_OF = {t: k for k, (_, words) in enumerate(TOKEN_FEATURES.items()) for t in words}
 N_FEATURES = 2 * len(TAG_FEATURES) + 2 * len(TOKEN_FEATURES) + 19
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
+#: A comment; a tag without angle brackets in its quotes; the start of any other tag; other markup. Nothing is read twice.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/><"']*+)((?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+)>|<(/?)([a-zA-Z][^\s/><"']*+)|<[!?/][^>]*+(?:>|\Z)""", re.S)
+_MARK = re.compile("""[>"']""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
 
 
+class _Ends:
+    """Where a tag ends whose quotes hold angle brackets: at the first `>` outside quotes; a quote that nothing closes is a character."""
+
+    def __init__(self, source: str) -> None:
+        self.at = [m.start() for m in _MARK.finditer(source)]
+        n = len(self.at)
+        self.end = [-1] * (n + 1)  # by mark, met outside quotes
+        later: dict[str, int] = {}
+        for i in range(n - 1, -1, -1):
+            mark = source[self.at[i]]
+            if mark == ">":
+                self.end[i] = self.at[i]
+            else:
+                self.end[i] = self.end[later[mark] + 1] if mark in later else self.end[i + 1]
+                later[mark] = i
+
+    def after(self, place: int) -> int:
+        return self.end[bisect_left(self.at, place)]
+
+
 class Page:
     """Block nodes in page order, and text pieces with their node and block."""
 
@@ -69,18 +92,24 @@ class Page:
         self.pieces: list[tuple[int, int, str, bool]] = []  # node, block, text, in a link
         stack: list[tuple[str, int]] = [("#root", 0)]  # open elements, inline ones with their block's node
         block, at, links, silent = 0, 0, 0, 0
-        lower = None
-        for m in _TOKEN.finditer(source):
-            if m.start() < at:
-                continue
+        lower = ends_of = None
+        while m := _TOKEN.search(source, at):
             if m.start() > at and not silent:
                 self.pieces.append((stack[-1][1], block, source[at : m.start()], links > 0))
             at = m.end()
-            name = m[2]
+            closing, name, raw = m[1], m[2], m[3]
+            if m[5]:
+                ends_of = ends_of or _Ends(source)
+                end = ends_of.after(at)
+                end = source.find(">", at) if end < 0 else end
+                if end < 0:  # the page ends inside the tag
+                    at = len(source)
+                    break
+                closing, name, raw, at = m[4], m[5], source[at:end], end + 1
             if not name:
                 continue
             name = name.lower()
-            if m[1]:
+            if closing:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == name:
                         closed = stack[k:]
@@ -129,10 +158,9 @@ class Page:
                 self.tag.append(name)
                 self.parent.append(stack[-1][1])
                 self.links.append(0)
-                raw = m[3]
                 self.attrs.append(raw)
                 self.tokens.append(self._tokens(raw) if raw else ())
-            if not raw_self_closed(m[3], inline):
+            if not raw_self_closed(raw, inline):
                 stack.append((name, node))
         if at < len(source) and not silent:
             self.pieces.append((stack[-1][1], block, source[at:], links > 0))
@@ -280,6 +308,10 @@ def generated(seed: int) -> str:
         return f"<p>{x}<br>" if r.random() < 0.1 else f"<p>{x}</p>"
 
     def article() -> str:
+        if r.random() < 0.05:  # hardly any text, and the heading may say it again
+            x = words(1, 3).capitalize() + "."
+            parts = [f"<h1>{r.choice((x, words(1, 3)))}</h1>", f"<p>{x}</p>"]
+            return '<article data-keep="1">' + "".join(parts) + "</article>"
         parts = [f"<h1>{words(3, 12)}</h1>"] if r.random() < 0.85 else []
         for _ in range(r.choice((1, 2, 4, 8, 15))):
             kind = r.random()
