@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -495,6 +496,23 @@ def test_html_cases(spark):
     assert html_extract.extract_main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("unit", ["<a '", "<a \"x>", "<a '><b \">", "<!", "<a<b", "<a b='<' ", "<p>", "< "])
+def test_html_is_read_once(unit):
+    start = time.process_time()
+    html_extract.Page(unit * ((1 << 20) // len(unit) if unit != "<p>" else 30_000))
+    assert time.process_time() - start < 1.5
+
+
+def test_html_quotes():
+    page = html_extract.Page("<p title='a>b' class=\"x\">hi <b>there</b> it's</p>tail <i 'open>end")
+    assert [t for _, _, t, _ in page.pieces] == ["hi ", "there", " it's", "tail ", "end"]
+
+
+def test_html_tiny_article_that_repeats_its_heading():
+    page = "<body><nav><ul><li><a href='/1'>One</a></li><li><a href='/2'>Two</a></li></ul></nav><article><h1>Éaux.</h1><p>Éaux.</p></article><footer>&copy; Site</footer></body>"
+    assert html_extract.extract_all([page], html_extract.models()) == ["Éaux.\nÉaux."]
+
+
 def test_html_held_out():
     fitted = html_extract.models()
     exact = n = 0

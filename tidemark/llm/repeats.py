@@ -3,8 +3,8 @@
 Each window of `length` units (bytes or words) picks its least `gram` hash, the
 anchor, so equal windows share anchor and place in it. Windows next to each
 other with one anchor form a context. Only contexts whose anchor occurs twice
-matter, and equal contexts are one: their hash stands for them until a group
-with several different contexts needs the texts of its representatives.
+matter, and equal contexts are one: the text of their first occurrence goes
+through the structure that finds the repeats, with their number as its weight.
 """
 
 from __future__ import annotations
@@ -191,14 +191,11 @@ def repeated_runs(
     # one row for each different context, with its first occurrence
     each = seen.groupBy("a", "c").agg(F.min(F.struct("id", "i", "h", "n", "o")).alias("r"), F.count(F.lit(1)).alias("weight"))
     each = stored(each.select("a", "c", "r.*", "weight"))
-    groups = stored(each.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
-    each = stored(each.join(groups, "a", "left").withColumn("many", F.col("kinds").isNotNull()))
-    several = each.where("many")
-    wanted = several.groupBy("id", "h").agg(F.collect_list(F.struct("a", "c", "o", "n", "i", "weight")).alias("wanted"))
+    wanted = each.groupBy("id", "h").agg(F.collect_list(F.struct("a", "c", "o", "n", "i", "weight")).alias("wanted"))
     repeats = not docs.groupBy("id", "h").count().where("count > 1").isEmpty()  # such rows are one text to cut
     texts = docs.join(wanted, ["id", "h"]).select("t", "id", "wanted")
     cuts = stored(texts.mapInArrow(_cut_rows(kind), CUT).dropDuplicates(["a", "c"]) if repeats else texts.mapInArrow(_cut_rows(kind), CUT))
-    hot = stored(groups.where(F.col("kinds") > HOT).select("a"))
+    hot = stored(each.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > HOT).select("a"))
     order = ["g", "a", "c", "o", "n", "id", "i", "weight", "bytes", "at"]
     if hot.isEmpty():
         grouped = cuts.withColumns({"g": F.col("a"), "at": F.lit(0)}).select(*order)
@@ -211,15 +208,13 @@ def repeated_runs(
     dealt = grouped.repartition("g").sortWithinPartitions("g", "id", "i").select("g", "a", "c", "n", "id", "i", "weight", "bytes", "at")
     found = stored(dealt.mapInArrow(_analyse(find, kind.length, size), "a long, c long, s int, m int"))
     per = found.groupBy("a", "c").agg(F.collect_list(F.struct("s", "m")).alias("found"))
-    each = each.join(per, ["a", "c"], "left").select("a", "c", F.col("id").alias("id0"), F.col("i").alias("i0"), "many", "found")
+    each = each.join(per, ["a", "c"], "left").select("a", "c", F.col("id").alias("id0"), F.col("i").alias("i0"), "found")
     each = stored(each)  # so that the join below is of two plain exchanges, whose hot partitions Spark splits
     all_windows = F.array(F.struct(F.lit(0).alias("s"), F.col("n").alias("m")))
     part = F.coalesce("found", F.array().cast("array<struct<s:int,m:int>>"))
-    if keep_first:
-        first = (F.col("id") == F.col("id0")) & (F.col("i") == F.col("i0"))
-        runs = F.when(~first, all_windows).when(F.col("many"), part).otherwise(F.array().cast("array<struct<s:int,m:int>>"))
-    else:
-        runs = F.when(F.col("many"), part).otherwise(all_windows)
+    # the structure judges a context's first occurrence; the others repeat it from end to end
+    first = (F.col("id") == F.col("id0")) & (F.col("i") == F.col("i0"))
+    runs = F.when(first, part).otherwise(all_windows) if keep_first else part
     marked = seen.join(each, ["a", "c"]).select("id", "h", F.explode(F.transform(runs, lambda r: F.struct((F.col("i") + r["s"]).alias("s"), (F.col("i") + r["s"] + r["m"]).alias("e")))).alias("r"))
     return marked.groupBy("id", "h").agg(F.collect_set("r").alias("runs"))
 
