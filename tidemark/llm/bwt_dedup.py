@@ -26,7 +26,11 @@ _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
 def _read(text: str) -> tuple[np.ndarray, Callable[[int, int], bytes]]:
     raw = text.encode("utf-8", "surrogatepass")
-    return _BYTES[np.frombuffer(raw, np.uint8)], lambda a, b: raw[a:b]
+    return _BYTES[np.frombuffer(raw, np.uint8)], _slices(raw)
+
+
+def _cut(text: str) -> Callable[[int, int], bytes]:
+    return _slices(text.encode("utf-8", "surrogatepass"))
 
 
 #: Places of a text up to this many bits are sorted within their keys, which is several times faster than an argsort.
@@ -139,7 +143,7 @@ def repeated_windows(held: list[tuple], length: int = LENGTH) -> Iterator[tuple[
         yield k, a - int(starts[k]), b - a
 
 
-KIND = Kind(LENGTH, GRAM, 32, _read)
+KIND = Kind(LENGTH, GRAM, 32, _read, _cut)
 
 
 def _slices(data: bytes) -> Callable[[int, int], bytes]:

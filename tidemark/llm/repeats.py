@@ -74,12 +74,13 @@ def contexts(units: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.
 
 @dataclass(frozen=True)
 class Kind:
-    """How a text falls into units: read gives unit hashes, and slice the bytes of units [a, b)."""
+    """How a text falls into units: read gives unit hashes, and cut the bytes of units [a, b)."""
 
     length: int
     gram: int
     piece: int  # window places that a piece of a hot group spans
     read: Callable[[str], tuple[np.ndarray, Callable[[int, int], bytes]]]
+    cut: Callable[[str], Callable[[int, int], bytes]]
 
 
 def _anchor_rows(kind: Kind):
@@ -110,7 +111,7 @@ def _cut_rows(kind: Kind):
         for b in batches:
             rows = []
             for t, d, wanted in rows_of(b, 3):
-                _, cut = kind.read(t)
+                cut = kind.cut(t)
                 for w in wanted:
                     rows.append((w["a"], w["c"], w["o"], w["n"], d, w["i"], w["weight"], cut(w["i"], w["i"] + w["n"] + kind.length - 1)))
             if rows:

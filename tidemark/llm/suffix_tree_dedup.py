@@ -52,19 +52,29 @@ def prefix_groups(symbols: np.ndarray, at: np.ndarray, depth: int = 0, limit: in
 
 def deep_nodes(symbols: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(leaves in order, node of each): the inner nodes LENGTH deep of the subtree over suffixes `group`."""
-    grid = symbols[group[:, None] + np.arange(LENGTH)]
-    order = np.lexsort(grid.T[::-1])
-    grid = grid[order]
-    shared = (grid[1:] == grid[:-1]).all(axis=1)  # neighbours whose branching node is at least a window deep
+    bits = max(1, int(symbols.max(initial=0)).bit_length())
+    wide = 63 // bits  # symbols that one number holds
+    keys = []
+    for k in range(0, LENGTH, wide):
+        key = symbols[group + k].astype(np.int64)
+        for j in range(k + 1, min(k + wide, LENGTH)):
+            key = key << bits | symbols[group + j]
+        keys.append(key)
+    order = np.lexsort(keys[::-1])
+    shared = np.ones(max(0, len(group) - 1), bool)  # neighbours whose branching node is at least a window deep
+    for key in keys:
+        key = key[order]
+        shared &= key[1:] == key[:-1]
     return group[order], np.concatenate(([0], np.cumsum(~shared)))
 
 
 def repeated_later(held: list[tuple]) -> Iterator[tuple[int, int, int]]:
     """(context, first window, windows) runs that start earlier elsewhere, of contexts (g, a, c, n, id, i, weight, bytes, at)."""
-    words = [r[7].split() for r in held]
-    sizes = np.array([len(w) for w in words])
-    ids: dict[bytes, int] = {}
-    symbols = np.fromiter((ids.setdefault(w, len(ids)) for ws in words for w in ws), np.int32, int(sizes.sum()))
+    sizes = np.array([r[7].count(b" ") + 1 for r in held])
+    joined = np.frombuffer(b" ".join([r[7] for r in held]) + b" ", np.uint8)
+    ends = np.flatnonzero(joined == 32) + 1  # each word with the space after it
+    words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate(([0], ends))), pa.py_buffer(joined)])
+    symbols = words.dictionary_encode().indices.to_numpy().astype(np.int32)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     owner = np.repeat(np.arange(len(held)), sizes)
     local = np.arange(len(symbols)) - starts[owner]
@@ -89,7 +99,7 @@ def repeated_later(held: list[tuple]) -> Iterator[tuple[int, int, int]]:
             at = end
 
 
-KIND = Kind(LENGTH, GRAM, 4, _read)
+KIND = Kind(LENGTH, GRAM, 4, _read, lambda text: _slices(text.encode("utf-8", "surrogatepass")))
 
 
 def _slices(data: bytes) -> Callable[[int, int], bytes]:
