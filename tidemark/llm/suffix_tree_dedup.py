@@ -37,7 +37,10 @@ def _read(text: str) -> tuple[np.ndarray, Callable[[int, int], bytes]]:
 
 
 def prefix_groups(symbols: np.ndarray, at: np.ndarray, depth: int = 0, limit: int = SUBTREE) -> Iterator[np.ndarray]:
-    """Split suffixes `at` by their next symbol until a group fits `limit` or shares LENGTH symbols."""
+    """Split suffixes `at` by their next symbol until what shares a prefix fits `limit` or shares LENGTH symbols.
+
+    Neighbouring prefixes that fit together make one group.
+    """
     todo = [(at, depth)]
     while todo:
         group, deep = todo.pop()
@@ -46,20 +49,44 @@ def prefix_groups(symbols: np.ndarray, at: np.ndarray, depth: int = 0, limit: in
             continue
         key = symbols[group + deep]
         order = np.argsort(key, kind="stable")
-        cuts = np.flatnonzero(np.diff(key[order])) + 1
-        todo += [(part, deep + 1) for part in np.split(group[order], cuts)]
-
-
-def deep_nodes(symbols: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        held, size = [], 0
+        for part in np.split(group[order], np.flatnonzero(np.diff(key[order])) + 1):
+            if len(part) > limit:
+                todo.append((part, deep + 1))
+                continue
+            if size + len(part) > limit:
+                yield np.concatenate(held)
+                held, size = [], 0
+            held.append(part)
+            size += len(part)
+        if held:
+            yield np.concatenate(held)
+
+
+class Windows:
+    """The LENGTH symbols from any place as a few numbers."""
+
+    def __init__(self, symbols: np.ndarray) -> None:
+        bits = max(1, int(symbols.max(initial=0)).bit_length())
+        self.wide = 63 // bits  # symbols that one number holds
+        self.full, self.rest = (self._rolled(symbols, bits, n) for n in (self.wide, LENGTH % self.wide or self.wide))
+
+    @staticmethod
+    def _rolled(symbols: np.ndarray, bits: int, n: int) -> np.ndarray:
+        out = np.zeros(len(symbols), np.int64)
+        for k in range(n):
+            out <<= bits
+            out[: len(symbols) - k] |= symbols[k:]
+        return out
+
+    def keys(self, at: np.ndarray) -> list[np.ndarray]:
+        places = range(0, LENGTH, self.wide)
+        return [(self.full if k != places[-1] else self.rest)[at + k] for k in places]
+
+
+def deep_nodes(windows: Windows, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(leaves in order, node of each): the inner nodes LENGTH deep of the subtree over suffixes `group`."""
-    bits = max(1, int(symbols.max(initial=0)).bit_length())
-    wide = 63 // bits  # symbols that one number holds
-    keys = []
-    for k in range(0, LENGTH, wide):
-        key = symbols[group + k].astype(np.int64)
-        for j in range(k + 1, min(k + wide, LENGTH)):
-            key = key << bits | symbols[group + j]
-        keys.append(key)
+    keys = windows.keys(group)
     order = np.lexsort(keys[::-1])
     shared = np.ones(max(0, len(group) - 1), bool)  # neighbours whose branching node is at least a window deep
     for key in keys:
@@ -82,8 +109,9 @@ def repeated_later(held: list[tuple]) -> Iterator[tuple[int, int, int]]:
     doc = np.array([r[4] for r in held], np.int64)[owner]
     place = np.array([r[5] for r in held], np.int64)[owner] + local
     flag = np.zeros(len(symbols) + 1, bool)
+    windows = Windows(symbols)
     for group in prefix_groups(symbols, suffixes):
-        leaves, node = deep_nodes(symbols, group)
+        leaves, node = deep_nodes(windows, group)
         order = np.lexsort((place[leaves], doc[leaves], node))
         leaves, node = leaves[order], node[order]
         head = np.concatenate(([True], node[1:] != node[:-1]))
