@@ -51,6 +51,7 @@ def test_windows(spark):
     assert one(spark, windows.iso_minute(F.lit(1784116800))) == "2026-07-15T12:00:00Z"
     assert one(spark, windows.part_of_path(F.lit("x/part-01K0A000000000000000000000.vseam"))) == "01K0A000000000000000000000"
     assert one(spark, windows.part_of_path(F.lit("x/part-1.vseam"))) is None
+    assert windows.next_tick(0, 60, 60) == (120, 1) and windows.next_tick(0, 120, 60) == (180, 2) and windows.next_tick(0, 0, 60) == (60, 0)
     assert windows.next_tick(0, 50, 60) == (60, 0) and windows.next_tick(0, 130, 60) == (180, 2)
 
 
@@ -97,6 +98,7 @@ def test_selection(spark, value, ef, met):
 def test_text(spark):
     assert text.html_text("<p>a &amp; b</p><div>c<br>d</div>") == "a & b c d"
     assert one(spark, text.fold_html_sql(F.lit("<p>a &amp; b</p><div>c<br>d</div>"))) == "a & b c d"
+    assert one(spark, text.parse_tags(F.lit("<a&amp;b&gt;&lt;c&eacute;>"))) == ["a&b", "cé"]
     assert one(spark, text.parse_tags(F.lit("&lt;a&gt;<b-c>"))) == ["a", "b-c"] and one(spark, text.parse_tags(F.lit(None).cast("string"))) == []
     assert one(spark, text.parse_int(F.lit(""))) == 0 and one(spark, text.parse_int(F.lit("12"))) == 12
     assert not one(spark, text.accept_text(F.lit(" [Removed] "), 3)) and one(spark, text.accept_text(F.lit("words"), 3))

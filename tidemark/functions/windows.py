@@ -39,9 +39,6 @@ def part_of_path(path: Column) -> Column:
 
 
 def next_tick(tick: int, now: int, interval: int) -> tuple[int, int]:
-    """(next tick after a round that ended at `now`, ticks skipped)."""
-    if now < tick + interval:
-        return tick + interval, 0
-    missed = (now - tick) // interval
-    after = tick + (missed + 1) * interval
-    return (now, missed - 1) if now == tick + missed * interval else (after, missed)
+    """(next tick after a round that ended at `now`, ticks skipped); the next tick is always later than `now`."""
+    passed = max(0, (now - tick) // interval)
+    return tick + (passed + 1) * interval, passed

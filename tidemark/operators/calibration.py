@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.hashing import is_train_member, split_threshold
 from tidemark.functions.stats import compliance_quantile, select_ef, target_met, transfer_confidence, type7
 from tidemark.functions.windows import iso_minute
+from tidemark.operators.summaries import quantiles
 
 
 @dataclass(frozen=True)
@@ -181,27 +182,41 @@ def population(used: DataFrame, truth: DataFrame, config: RoundConfig) -> DataFr
     return deduplicated(rows, ["cohort", "round_end"]).withColumn("is_train", is_train_member(F.col("vector_hash"), config.split_seed, config.train_fraction))
 
 
+def valid_sweep(sweep: DataFrame) -> DataFrame:
+    """`sweep` if recalls lie in [0, 1] and latencies, where it has them, are finite and not negative, else an error when it runs."""
+    fine = F.col("recall").between(0.0, 1.0)
+    if "latency_ms" in sweep.columns:
+        fine = fine & F.col("latency_ms").isNotNull() & ~F.isnan("latency_ms") & F.col("latency_ms").between(0.0, 1e300)
+    return sweep.where(F.assert_true(F.coalesce(fine, F.lit(False)), F.lit("recall or latency out of range")).isNull())
+
+
 def selection(samples: DataFrame, sweep: DataFrame, config: RoundConfig) -> DataFrame:
     """Per round: the least ef whose train quantile meets the value, its holdout quantile and the confidence that it transfers."""
     key = ["cohort", "round_end"]
-    rows = samples.select(*key, "part_ulid", "record_index", "is_train").join(sweep.select("part_ulid", "record_index", "ef", "recall"), ["part_ulid", "record_index"])
+    rows = samples.select(*key, "part_ulid", "record_index", "is_train").join(valid_sweep(sweep).select("part_ulid", "record_index", "ef", "recall"), ["part_ulid", "record_index"])
     side = lambda on: type7(F.collect_list(F.when(on, F.col("recall"))), config.q)
     held = ~F.col("is_train")
     per = rows.groupBy(*key, "ef").agg(
-        side(F.col("is_train")).alias("train_quantile_recall"), side(held).alias("test_quantile_recall"), F.count_if(held).alias("n"), F.count_if(held & (F.col("recall") >= config.value)).alias("m")
+        side(F.col("is_train")).alias("train_quantile_recall"), side(held).alias("test_quantile_recall"), F.count_if(held).alias("n"), F.count_if("is_train").alias("__train"), F.count_if(held & (F.col("recall") >= config.value)).alias("m")
     )
-    chosen = per.groupBy(*key).agg(select_ef(F.col("ef"), F.col("train_quantile_recall"), config.value).alias("recommended_ef"), target_met(F.col("train_quantile_recall"), config.value).alias("met"))
-    at = per.join(chosen, key).where(F.col("ef") == F.col("recommended_ef"))
+    # every sample has a row of each ef: as many rows of all, and the whole grid
+    per = per.withColumn("__all", F.col("n") + F.col("__train"))
+    whole = F.assert_true((F.min("__all") == F.max("__all")) & (F.sort_array(F.collect_set(F.col("ef").cast("int"))) == F.array(*[F.lit(e) for e in config.ef_grid])), F.lit("a sample lacks rows of the ef grid"))
+    chosen = per.groupBy(*key).agg(whole.alias("__whole"), select_ef(F.col("ef"), F.col("train_quantile_recall"), config.value).alias("recommended_ef"), target_met(F.col("train_quantile_recall"), config.value).alias("met"))
+    at = per.join(chosen.where("__whole is null"), key).where(F.col("ef") == F.col("recommended_ef"))
     return at.select(
         *key, "recommended_ef", "met", F.when(F.col("n") > 0, transfer_confidence(F.col("n"), F.col("m"), config.percentile)).alias("confidence"), (F.col("test_quantile_recall") >= config.value).alias("transferred"), "train_quantile_recall", "test_quantile_recall"
     )
 
 
 def per_ef(samples: DataFrame, sweep: DataFrame, config: RoundConfig) -> DataFrame:
-    """Per round and ef over the whole population: quantile_recall, mean_recall (from whole hits) and n."""
-    rows = samples.select("cohort", "round_end", "part_ulid", "record_index").join(sweep.select("part_ulid", "record_index", "ef", "hits", "recall"), ["part_ulid", "record_index"])
+    """Per round and ef over the whole population: quantile_recall, mean_recall (from whole hits), latency_p50_ms and n."""
+    key = ("cohort", "round_end", "ef")
+    rows = samples.select("cohort", "round_end", "part_ulid", "record_index").join(sweep.select("part_ulid", "record_index", "ef", "hits", "recall", F.col("latency_ms").alias("sweep_ms")), ["part_ulid", "record_index"])
     n = F.count(F.lit(1))
-    return rows.groupBy("cohort", "round_end", "ef").agg(type7(F.collect_list("recall"), config.q).alias("quantile_recall"), (F.sum("hits") / (n * F.lit(float(config.k)))).alias("mean_recall"), n.alias("n"))
+    means = rows.groupBy(*key).agg((F.sum("hits") / (n * F.lit(float(config.k)))).alias("mean_recall"), n.alias("n"))
+    both = quantiles(rows, key, "recall", {"quantile_recall": config.q}).join(quantiles(rows, key, "sweep_ms", {"latency_p50_ms": 0.5}), [*key])
+    return both.join(means, [*key]).select(*key, "quantile_recall", "mean_recall", "latency_p50_ms", "n")
 
 
 def effective(rounds: DataFrame) -> DataFrame:
@@ -250,7 +265,7 @@ def source_mismatches(listed: DataFrame, metas: DataFrame) -> DataFrame:
 
 def round_json(rounds: DataFrame, per: DataFrame, config: RoundConfig, computed_at: str) -> DataFrame:
     """(cohort, round_end, path, json): the published record, fields in a fixed order; computed_at is the caller's."""
-    efs = per.groupBy("cohort", "round_end").agg(F.array_sort(F.collect_list(F.struct("ef", "quantile_recall", "mean_recall"))).alias("per_ef"))
+    efs = per.groupBy("cohort", "round_end").agg(F.array_sort(F.collect_list(F.struct("ef", "quantile_recall", "mean_recall", "latency_p50_ms"))).alias("per_ef"))
     r = rounds.join(efs, ["cohort", "round_end"], "left")
     record = F.struct(
         F.lit(config.format_version).alias("format_version"), "cohort", F.lit(computed_at).alias("computed_at"),
@@ -260,7 +275,7 @@ def round_json(rounds: DataFrame, per: DataFrame, config: RoundConfig, computed_
         F.when(F.col("effective_ef").isNotNull(), F.struct(F.col("effective_ef").alias("recommended_ef"), F.col("effective_confidence").alias("confidence"), iso_minute(F.col("source_round")).alias("source_round"), "carried")).alias("effective"),
         F.struct("available", "measured", "failed", "unique", "train", "test").alias("samples"), "dropped_frame_fraction",
         F.struct("empty_window_fraction", "windows_in_scope", "windows_with_parts").alias("coverage"), "parts_used", "incompatible_parts", "ground_truth_latency_mean_ms",
-        F.coalesce("per_ef", F.array().cast("array<struct<ef:int,quantile_recall:double,mean_recall:double>>")).alias("per_ef"),
+        F.coalesce("per_ef", F.array().cast("array<struct<ef:int,quantile_recall:double,mean_recall:double,latency_p50_ms:double>>")).alias("per_ef"),
     )
     from tidemark.functions.windows import round_key
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Fixed values of the adaptive sampler.
 BUCKET_SECONDS = 5
@@ -42,8 +46,35 @@ def bernoulli(rate: float, seed: int, *keys: str) -> SamplingPolicy:
     return lambda df: F.lit(rate == 1.0) if rate in (0.0, 1.0) else unit_hash(seed, *keys) < rate
 
 
+def in_order(rows: DataFrame, group: list[str], order: list[str], value: str, new: str, fold: Callable[[], Callable[[Any], tuple]]) -> DataFrame:
+    """Rows with the columns `new` (a schema text) from a fold over each group in order.
+
+    fold() starts a group and gives a function of the next value. Groups stream
+    through sorted partitions, so a task holds a batch and one state, however
+    large a group is; an ordered fold of one group can't be split.
+    """
+    dealt = rows.repartition(*group).sortWithinPartitions(*group, *order)
+    fields = T._parse_datatype_string(new).fields
+    kinds = to_arrow_schema(T.StructType(fields)).types
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: Any = run  # no group yet
+        step = None
+        for b in batches:
+            out = []
+            for *key, x in zip(*(b.column(c).to_pylist() for c in [*group, value]), strict=True):
+                if key != now:
+                    now, step = key, fold()
+                out.append(step(x))
+            columns = list(zip(*out, strict=True)) or [[] for _ in fields]
+            added = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], [*b.schema.names, *(f.name for f in fields)])
+
+    return dealt.mapInArrow(run, T.StructType([*dealt.schema.fields, *fields]))
+
+
 def adaptive_rates(captures: DataFrame, target_per_second: float, cohort: str = "cohort", seconds: str = "second") -> DataFrame:
-    """(cohort, bucket, probability): the sampling probability of each 5-second bucket with captures.
+    """(cohort, bucket, rate, probability): the sampling probability of each 5-second bucket with captures.
 
     Buckets count from the cohort's first capture. A finished bucket's rate moves
     the estimate half way; an empty one moves it half way to nothing, and more than
@@ -55,18 +86,24 @@ def adaptive_rates(captures: DataFrame, target_per_second: float, cohort: str =
     start = captures.groupBy(cohort).agg(F.min(seconds).alias("__s0"))
     bucket = F.floor((F.col(seconds) - F.col("__s0")) / BUCKET_SECONDS).cast("long")
     counts = captures.join(start, cohort).groupBy(cohort, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    series = counts.groupBy(cohort).agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("s"))
-    fold = F.struct(F.lit(0.0).alias("rate"), F.lit(-1).cast("long").alias("bucket"), F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<bucket:bigint,rate:double>>").alias("out"))
 
-    def step(a: Column, b: Column) -> Column:
-        idle = b["bucket"] - a["bucket"] - 1
-        after = F.lit(EWMA_ALPHA) * (a["n"] / F.lit(float(BUCKET_SECONDS))) + F.lit(1 - EWMA_ALPHA) * a["rate"]
-        rate = F.when(a["bucket"] < 0, F.lit(0.0)).when(idle > MAX_IDLE_UPDATES, F.lit(0.0)).otherwise(after * F.pow(F.lit(1 - EWMA_ALPHA), idle.cast("double")))
-        return F.struct(rate.alias("rate"), b["bucket"].alias("bucket"), b["n"].alias("n"), F.concat(a["out"], F.array(F.struct(b["bucket"].alias("bucket"), rate.alias("rate")))).alias("out"))
+    def fold() -> Callable[[dict], tuple]:
+        rate, last, n = 0.0, None, 0
+
+        def step(b: dict) -> tuple[float]:
+            nonlocal rate, last, n
+            if last is not None:
+                idle = b["bucket"] - last - 1
+                after = EWMA_ALPHA * (n / float(BUCKET_SECONDS)) + (1 - EWMA_ALPHA) * rate
+                rate = 0.0 if idle > MAX_IDLE_UPDATES else after * (1 - EWMA_ALPHA) ** float(idle)
+            last, n = b["bucket"], b["n"]
+            return (rate,)
+
+        return step
 
-    rows = series.select(cohort, F.explode(F.aggregate("s", fold, step, lambda a: a["out"])).alias("r"))
-    rate = F.col("r.rate")
-    return rows.select(cohort, F.col("r.bucket").alias("bucket"), rate.alias("rate"), F.when(rate <= target_per_second, F.lit(1.0)).otherwise(F.lit(target_per_second) / rate).alias("probability"))
+    found = in_order(counts.withColumn("b", F.struct("bucket", "n")), [cohort], ["bucket"], "b", "rate double", fold)
+    rate = F.col("rate")
+    return found.select(cohort, "bucket", "rate", F.when(rate <= target_per_second, F.lit(1.0)).otherwise(F.lit(target_per_second) / rate).alias("probability"))
 
 
 def adaptive_sample(captures: DataFrame, target_per_second: float, seed: int, key: str, cohort: str = "cohort", seconds: str = "second") -> DataFrame:
@@ -83,19 +120,23 @@ def queue_outcomes(captures: DataFrame, capacity_bytes: int, drain_group: list[s
     A frame that doesn't fit is refused and leaves room for later, smaller ones, so
     the fold runs in order over a drain's frames.
     """
-    place = F.row_number().over(Window.partitionBy(*drain_group).orderBy(*order))
-    numbered = captures.withColumn("__n", place)
-    lists = numbered.where(F.col(sampled)).groupBy(*drain_group).agg(F.array_sort(F.collect_list(F.struct("__n", F.col(size).alias("b")))).alias("s"))
-    start = F.struct(F.lit(0).cast("long").alias("held"), F.array().cast("array<int>").alias("in"))
 
-    def step(a: Column, f: Column) -> Column:
-        fits = a["held"] + f["b"] <= capacity_bytes
-        return F.struct(F.when(fits, a["held"] + f["b"]).otherwise(a["held"]).cast("long").alias("held"), F.when(fits, F.concat(a["in"], F.array(f["__n"]))).otherwise(a["in"]).alias("in"))
+    def fold() -> Callable[[int | None], tuple]:
+        held = 0
 
-    taken = lists.select(*drain_group, F.explode(F.aggregate("s", start, step, lambda a: a["in"])).alias("__n")).withColumn("__in", F.lit(True))
-    out = numbered.join(taken, [*drain_group, "__n"], "left")
-    outcome = F.when(~F.col(sampled), "not_sampled").when(F.col("__in"), "enqueued").otherwise("queue_full")
-    return out.withColumn("outcome", outcome).drop("__n", "__in")
+        def step(size: int | None) -> tuple[str]:
+            nonlocal held
+            if size is None:
+                return ("not_sampled",)
+            if held + size > capacity_bytes:
+                return ("queue_full",)
+            held += size
+            return ("enqueued",)
+
+        return step
+
+    asked = captures.withColumn("__b", F.when(F.col(sampled), F.col(size)))
+    return in_order(asked, drain_group, order, "__b", "outcome string", fold).drop("__b")
 
 
 def split_parts(records: DataFrame, cap_bytes: int, group: list[str], order: list[str], size: str = "frame_bytes") -> DataFrame:
@@ -103,16 +144,17 @@ def split_parts(records: DataFrame, cap_bytes: int, group: list[str], order: lis
 
     Arrival order decides, so the fold runs over one window's records of a cohort.
     """
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    numbered = records.withColumn("__n", place)
-    lists = numbered.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("__n", F.col(size).alias("b")))).alias("s"))
-    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("spill"), F.lit(0).alias("at"), F.array().cast("array<struct<n:int,spill:int,at:int>>").alias("out"))
-
-    def step(a: Column, f: Column) -> Column:
-        full = (a["held"] > 0) & (a["held"] + f["b"] > cap_bytes)
-        spill, at = a["spill"] + full.cast("int"), F.when(full, 0).otherwise(a["at"])
-        row = F.struct(f["__n"].alias("n"), spill.alias("spill"), at.alias("at"))
-        return F.struct(F.when(full, f["b"]).otherwise(a["held"] + f["b"]).cast("long").alias("held"), spill.alias("spill"), (at + 1).alias("at"), F.concat(a["out"], F.array(row)).alias("out"))
-
-    rows = lists.select(*group, F.explode(F.aggregate("s", start, step, lambda a: a["out"])).alias("r")).select(*group, F.col("r.n").alias("__n"), F.col("r.spill").alias("spill_no"), F.col("r.at").alias("record_index"))
-    return numbered.join(rows, [*group, "__n"]).drop("__n")
+
+    def fold() -> Callable[[int], tuple]:
+        held, spill, at = 0, 0, -1
+
+        def step(size: int) -> tuple[int, int]:
+            nonlocal held, spill, at
+            if held and held + size > cap_bytes:
+                held, spill, at = 0, spill + 1, -1
+            held, at = held + size, at + 1
+            return spill, at
+
+        return step
+
+    return in_order(records, group, order, size, "spill_no int, record_index int", fold)

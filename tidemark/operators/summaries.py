@@ -8,30 +8,40 @@ from pyspark.sql import functions as F
 from tidemark.functions.stats import select_ef, target_met, type7
 
 
-def quantile(values: Column, q: float) -> Column:
-    """type7 of an aggregate's values."""
-    return type7(F.collect_list(values), q)
+def quantiles(rows: DataFrame, by: tuple[str, ...], value: str, at: dict[str, float]) -> DataFrame:
+    """Per group and column name its exact type-7 quantile, from counts of values: no list of a group's values is made.
+
+    The window runs over a group's different values; nulls and non-finite values are errors, as in stats.type7.
+    """
+    x = F.col(value).cast("double")
+    bad = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    counts = rows.groupBy(*by, F.when(bad, F.raise_error(F.lit("quantile of a non-finite value")).cast("double")).otherwise(x).alias("__x")).agg(F.count(F.lit(1)).alias("__c"))
+    group = Window.partitionBy(*by)
+    placed = counts.withColumns({"__upto": F.sum("__c").over(group.orderBy("__x")), "__n": F.sum("__c").over(group)})
+    low = lambda q: F.floor((F.col("__n") - 1) * F.lit(q))
+    at_place = lambda place: F.min(F.when(F.col("__upto") > place, F.col("__x")))
+    sides = placed.groupBy(*by).agg(F.max("__n").alias("__n"), *[c for name, q in at.items() for c in (at_place(low(q)).alias(f"__a_{name}"), at_place(F.least(low(q) + 1, F.col("__n") - 1)).alias(f"__b_{name}"))])
+    value_of = lambda name, q: F.col(f"__a_{name}") + ((F.col("__n") - 1) * F.lit(q) - low(q)) * (F.col(f"__b_{name}") - F.col(f"__a_{name}"))
+    return sides.select(*by, *[value_of(name, q).alias(name) for name, q in at.items()])
 
 
 def effort_summary(rows: DataFrame, k: int, by: tuple[str, ...] = ("dataset", "ef")) -> DataFrame:
     """Per group: query_count, recall_mean (from whole hits, so bit-stable), p90/p50/p10/p05 and frac_below_0_9."""
     n = F.count(F.lit(1))
-    out = rows.groupBy(*by).agg(
-        n.alias("query_count"),
-        (F.sum("hits") / (n * F.lit(float(k)))).alias("recall_mean"),
-        F.collect_list("recall").alias("__r"),
-        (F.count_if(F.col("recall") < 0.9) / n).alias("frac_below_0_9"),
-    )
-    return out.select(*by, "query_count", "recall_mean", *[type7(F.col("__r"), q).alias(f"recall_{name}") for name, q in (("p90", 0.9), ("p50", 0.5), ("p10", 0.1), ("p05", 0.05))], "frac_below_0_9")
+    out = rows.groupBy(*by).agg(n.alias("query_count"), (F.sum("hits") / (n * F.lit(float(k)))).alias("recall_mean"), (F.count_if(F.col("recall") < 0.9) / n).alias("frac_below_0_9"))
+    at = {"recall_p90": 0.9, "recall_p50": 0.5, "recall_p10": 0.1, "recall_p05": 0.05}
+    return out.join(quantiles(rows, by, "recall", at), [*by]).select(*by, "query_count", "recall_mean", *at, "frac_below_0_9")
 
 
 def latency_summary(rows: DataFrame, by: tuple[str, ...] = ("dataset", "ef")) -> DataFrame:
     """Mean, median and 90th percentile of latency_ms."""
-    return rows.groupBy(*by).agg(F.avg("latency_ms").alias("latency_mean_ms"), quantile(F.col("latency_ms"), 0.5).alias("latency_p50_ms"), quantile(F.col("latency_ms"), 0.9).alias("latency_p90_ms"))
+    means = rows.groupBy(*by).agg(F.avg("latency_ms").alias("latency_mean_ms"))
+    return means.join(quantiles(rows, by, "latency_ms", {"latency_p50_ms": 0.5, "latency_p90_ms": 0.9}), [*by])
 
 
 def median_of_repeats(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    return rows.groupBy(*by).agg(quantile(F.col("latency_ms"), 0.5).alias("latency_ms"))
+    """The middle latency of repeated runs of a query."""
+    return quantiles(rows, by, "latency_ms", {"latency_ms": 0.5})
 
 
 def crossings(summary: DataFrame, target: float) -> DataFrame:
@@ -56,9 +66,12 @@ def crossing_gap(crossed: DataFrame) -> DataFrame:
 
 
 def boxplot(rows: DataFrame, ef: int) -> DataFrame:
-    """Quartiles and mean of recall at one effort; an effort without rows is an error."""
-    out = rows.where(F.col("ef") == ef).groupBy("dataset").agg(F.collect_list("recall").alias("__r"), F.count(F.lit(1)).alias("n"), F.sum("hits").alias("hits"))
-    return out.select("dataset", "n", *[type7(F.col("__r"), q).alias(name) for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))], F.array_min("__r").alias("low"), F.array_max("__r").alias("high"))
+    """Quartiles and range of recall at one effort; an effort without rows is an error when it runs."""
+    mine = rows.where(F.col("ef") == ef)
+    some = mine.agg(F.assert_true(F.count(F.lit(1)) > 0, F.lit(f"no rows of ef {ef}")).alias("some"))
+    ends = mine.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.min("recall").alias("low"), F.max("recall").alias("high"))
+    out = ends.join(quantiles(mine, ("dataset",), "recall", {"q1": 0.25, "median": 0.5, "q3": 0.75}), "dataset")
+    return some.join(out, F.col("some").isNull(), "left").select("dataset", "n", "q1", "median", "q3", "low", "high")
 
 
 def shuffled_split(rows: DataFrame, train_fraction: float, seed: int, by: str = "dataset", key: str = "qid") -> DataFrame:

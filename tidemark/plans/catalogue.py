@@ -264,7 +264,7 @@ def calibration_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounds(spark, sf_dir).drop("error")
 
 
-@_query(f"WITH {VECS}, {CAPTURES}, {POPULATION} SELECT cohort, round_end, ef, {q7('list(recall)', '1.0::DOUBLE - 0.9::DOUBLE')} AS quantile_recall, sum(hits) / (count(*) * {float(K)}::DOUBLE) AS mean_recall, count(*) AS n FROM population p JOIN sweep s ON s.qid = p.vec_id GROUP BY 1, 2, 3")
+@_query(f"WITH {VECS}, {CAPTURES}, {POPULATION} SELECT cohort, round_end, ef, {q7('list(recall)', '1.0::DOUBLE - 0.9::DOUBLE')} AS quantile_recall, sum(hits) / (count(*) * {float(K)}::DOUBLE) AS mean_recall, {q7('list(s.latency_ms)', '0.5::DOUBLE')} AS latency_p50_ms, count(*) AS n FROM population p JOIN sweep s ON s.qid = p.vec_id GROUP BY 1, 2, 3")
 def round_per_ef(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.per_ef(_samples(spark, sf_dir), data.part_sweep(spark, sf_dir), CONFIG)
 

@@ -98,17 +98,20 @@ def strict_join(docs: DataFrame, embeddings: DataFrame, key: str = "doc_id") ->
     return docs.join(embeddings, key)
 
 
-def cache_value_matches(have: Any, want: Any) -> bool:
-    if isinstance(have, dict) and isinstance(want, dict):
-        return all(k in PATH_KEYS or cache_value_matches(have.get(k), v) for k, v in want.items())
-    if isinstance(have, list) and isinstance(want, list):
-        return len(have) == len(want) and all(map(cache_value_matches, have, want))
-    return have == want
+def _leaves(value: Any, at: tuple = ()) -> dict[tuple, Any]:
+    """Every scalar below `value` by its path, and each list's length; entries that name places are left out."""
+    if isinstance(value, dict):
+        inner = {k: v for k, v in value.items() if k not in PATH_KEYS}
+        return {p: x for k, v in inner.items() for p, x in _leaves(v, (*at, k)).items()}
+    if isinstance(value, list):
+        return {(*at, len): len(value)} | {p: x for i, v in enumerate(value) for p, x in _leaves(v, (*at, i)).items()}
+    return {at: value}
 
 
 def cache_matches(manifest: dict[str, Any], wanted: dict[str, Any]) -> bool:
-    """Whether a stage's manifest meets what is asked, wherever its files are."""
-    return cache_value_matches(manifest, wanted)
+    """Whether a stage's manifest meets what is asked, wherever its files are; it may say more."""
+    have = _leaves(manifest)
+    return all(have.get(path) == value for path, value in _leaves(wanted).items())
 
 
 def fingerprint(settings: dict[str, Any]) -> str:
