@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import hashing, text, windows
 from tidemark.functions.vectors import vector_text
-from tidemark.operators import calibration, sampling, search, summaries
+from tidemark.operators import calibration, lookup, measurement, sampling, search, summaries
 from tidemark.operators.hnsw import Hnsw
 from tidemark.plans import data
 from tidemark.plans.data import CONFIG, DAY, EFS, EVERY, K, WINDOW, table
 from tidemark.sources import frames
+from tidemark.streaming import collector
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -413,6 +414,105 @@ def vector_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.corpus(spark, sf_dir).select("vec_id", vector_text(F.col("embedding")).alias("text"))
 
 
+# Lookups
+
+
+@_query("SELECT least(count(*), 100) AS n_rows, 2 AS n_columns FROM documents")
+def limited_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lookup.limited(table(spark, sf_dir, "documents").select("doc_id", "lang"), 100)
+    return rows.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(rows.columns)))
+
+
+@_query("SELECT doc_id, source, lang FROM documents WHERE doc_id IN (0, 3, 20, 21, 77, 150, 100000000)")
+def rows_of_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.rows_of_ids(table(spark, sf_dir, "documents"), "doc_id", [0, 3, 20, 21, 77, 150, 100_000_000], ["source", "lang"])
+
+
+@_query(f"WITH {VECS} SELECT DISTINCT did FROM truth")
+def result_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = data.corpus(spark, sf_dir)
+    return lookup.result_ids(search.exact_topk(data.query_set(docs), docs, K))
+
+
+@_query(f"WITH {VECS} SELECT qid, ef, r::INT AS rank, did, round(dist, 6) AS dist FROM found")
+def effort_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = data.corpus(spark, sf_dir)
+    return lookup.sweep_rows(data.query_set(docs), docs, K, EFS).withColumn("dist", F.round("dist", 6))
+
+
+@_query(f"WITH {VECS} SELECT qid, rank::INT AS rank, did, round(dist, 6) AS dist, substring(coalesce(text, ''), 1, 300) AS preview FROM truth JOIN documents ON doc_id = did WHERE rank <= 3")
+def search_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = data.corpus(spark, sf_dir)
+    return lookup.previews(data.query_set(docs), docs, table(spark, sf_dir, "documents"), 3).withColumn("dist", F.round("dist", 6))
+
+
+@_query(f"WITH {VECS} SELECT qid, count(*) AS returned, round(min(dist), 6) AS nearest, round(max(dist), 6) AS farthest FROM truth GROUP BY qid")
+def search_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = data.corpus(spark, sf_dir)
+    return lookup.replay(data.query_set(docs), docs, K).select("qid", "returned", F.round("nearest", 6).alias("nearest"), F.round("farthest", 6).alias("farthest"))
+
+
+@_query("SELECT vec_id, len(embedding)::INT AS dim FROM embeddings")
+def vector_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measurement.checked_vectors(data.corpus(spark, sf_dir), "embedding", 64).select("vec_id", F.size("embedding").alias("dim"))
+
+
+@_query("""SELECT doc_id, '{"' || replace(replace(lang, '\\', '\\\\'), '"', '\\"') || '",NULL,"a\\"b"}' AS tags,
+CASE WHEN regexp_matches(text, '[",\\r\\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE coalesce(text, '') END AS field FROM documents""")
+def quoted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = F.array(F.col("lang"), F.lit(None).cast("string"), F.lit('a"b'))
+    return table(spark, sf_dir, "documents").select("doc_id", lookup.array_literal(tags).alias("tags"), lookup.csv_field(F.col("text")).alias("field"))
+
+
+@_query("SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def plain_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.identity_text(F.col("text")).alias("text"))
+
+
+# Measuring
+
+
+@_query(f"""WITH {CAPTURES} SELECT part_ulid, cohort, window_start, any_value(received_frame_count) AS received_frame_count, count(*) AS record_count, count(*) FILTER (WHERE event_id % 13 = 0) AS failed_count,
+count(DISTINCT vec_id) FILTER (WHERE event_id % 13 <> 0) AS measured_count FROM records JOIN parts USING (part_ulid, cohort, window_start) GROUP BY 1, 2, 3""")
+def measured_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of parts whose captures are encoded, stored as segments, read back and checked; every thirteenth is of another type."""
+    return data.measured(spark, sf_dir).metas.select("part_ulid", "cohort", "window_start", "received_frame_count", "record_count", "failed_count", "measured_count")
+
+
+@_query(f"""WITH {VECS}, {CAPTURES}, firsts AS (SELECT part_ulid, vec_id, min(record_index) AS record_index, count(*)::INT AS dup_count FROM records WHERE event_id % 13 <> 0 GROUP BY 1, 2),
+own AS (SELECT q.vec_id AS qid, d.vec_id AS did, 1 - list_dot_product(q.e, d.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(d.e, d.e))) AS dist, list_dot_product(q.e[1:16], d.e[1:16]) AS coarse
+  FROM vecs q JOIN vecs d ON true WHERE q.vec_id % {EVERY} = 0),
+mine AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, did) AS rank, row_number() OVER (PARTITION BY qid ORDER BY coarse DESC, did) AS place FROM own),
+tries AS (SELECT qid, did, dist, rank, ef, row_number() OVER (PARTITION BY qid, ef ORDER BY dist, did) AS r FROM mine, unnest({EFS}) AS t(ef) WHERE place <= ef)
+SELECT part_ulid, record_index, dup_count, ef::INT AS ef, count(*) FILTER (WHERE rank <= {K}) / {float(K)}::DOUBLE AS recall, count(*)::BIGINT AS result_count
+FROM firsts JOIN tries ON qid = vec_id WHERE r <= {K} GROUP BY 1, 2, 3, 4""")
+def measured_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep of each part's distinct vectors, from segments to recalls; a captured vector finds its own document."""
+    found = data.measured(spark, sf_dir)
+    dups = found.truth.select("part_ulid", "record_index", "dup_count")
+    return found.sweep.join(dups, ["part_ulid", "record_index"]).select("part_ulid", "record_index", "dup_count", "ef", "recall", "result_count")
+
+
+@_query(f"""SELECT 'events/' || event_type AS cohort, CASE WHEN event_id % 11 = 0 THEN 'truncated' WHEN event_id % 11 = 1 THEN 'bad_magic' WHEN event_id % 11 = 2 THEN 'length_mismatch' WHEN event_id % 11 = 3 THEN 'unsupported_dtype' WHEN event_id % 11 = 4 THEN 'cohort_mismatch' ELSE 'accepted' END AS outcome, count(*) AS n FROM events GROUP BY 1, 2""")
+def frame_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames by outcome: what can't be read is counted and doesn't end the collector."""
+    rows = data.captures(spark, sf_dir).select("event_id", "cohort")
+    kind = F.pmod("event_id", F.lit(11))
+    three = F.array(*[F.lit(float(x)) for x in (1, 2, 3)])
+    whole = frames.build_frame(F.when(kind == 4, F.lit("events/none")).otherwise(F.col("cohort")), three)
+    f64 = F.concat(F.substring(whole, 1, 12), F.unhex(F.lit("02000000")), whole.substr(F.lit(17), F.lit(1 << 20)))
+    bad = F.when(kind == 0, F.substring(whole, 1, 20)).when(kind == 1, F.concat(F.substring(whole, 1, 4), F.unhex(F.lit("00000000")), whole.substr(F.lit(9), F.lit(1 << 20)))).when(kind == 2, F.concat(whole, F.unhex(F.lit("00")))).when(kind == 3, f64).otherwise(whole)
+    return collector.frame_outcomes(rows.withColumn("frame", bad))
+
+
+@_query(f"""WITH c AS (SELECT event_id, 'events/' || event_type AS cohort, (epoch_us(ts) // 1000000) - (epoch_us(ts) // 1000000) % {WINDOW} AS w FROM events)
+SELECT cohort, event_id, max(w) OVER (PARTITION BY cohort ORDER BY event_id % 7919, event_id ROWS UNBOUNDED PRECEDING) AS window_start FROM c""")
+def arrival_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures in an arrival order that their times don't follow: an older record joins the window that is open."""
+    rows = data.captures(spark, sf_dir).withColumn("__turn", F.pmod("event_id", F.lit(7919)))
+    return collector.arrival_windows(rows, ["__turn", "event_id"]).select("cohort", "event_id", F.col("open_window").alias("window_start"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

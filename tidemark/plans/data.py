@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import fnv1a_limbs, limbs_decimal
 from tidemark.functions.windows import aligned_window_start
-from tidemark.operators import calibration, sampling, search
+from tidemark.operators import calibration, measurement, sampling, search
 from tidemark.operators.calibration import RoundConfig
+from tidemark.sources import frames
 
 EFS = [10, 20, 40, 80, 160]
 K = 10
@@ -116,3 +117,19 @@ def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = captures(spark, sf_dir).groupBy("cohort").agg(F.min("second").alias("a"), F.max("second").alias("b"))
     day = lambda c: F.col(c) - F.pmod(F.col(c), F.lit(DAY)) + DAY
     return span.select("cohort", F.explode(F.sequence(day("a"), day("b"), F.lit(DAY).cast("long"))).alias("round_end"))
+
+
+def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as scan_segments() gives them, from segments built of the captures; every thirteenth frame is of f64 elements."""
+    vectors = corpus(spark, sf_dir).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    rows = records(spark, sf_dir).join(vectors, "vec_id")
+    whole = frames.build_frame(F.col("cohort"), F.col("e"))
+    f64 = F.concat(F.substring(whole, 1, 12), F.unhex(F.lit("02000000")), whole.substr(F.lit(17), F.lit(1 << 20)))
+    framed = rows.select("part_ulid", "record_index", "receive_time_us", F.when(F.pmod("event_id", F.lit(13)) == 0, f64).otherwise(whole).alias("frame"))
+    heads = parts(spark, sf_dir).select("part_ulid", "cohort", "window_start", "window_seconds", "received_frame_count")
+    built = frames.build_segments(framed.join(heads, "part_ulid"))
+    return frames.open_segments(built.select(F.concat(F.lit("part-"), "part_ulid", F.lit(".vseam")).alias("path"), F.col("segment").alias("content")))
+
+
+def measured(spark: SparkSession, sf_dir: str) -> measurement.Measured:
+    return measurement.measure(stored_records(spark, sf_dir), corpus(spark, sf_dir), CONFIG)

@@ -35,6 +35,30 @@ def write_pairs(root: str, truth: DataFrame, sweep: DataFrame, metas: DataFrame)
         _as(df, schema).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("cohort", "window_start").parquet(f"{root}/measurements/{name}")
 
 
+def has_pairs(spark: SparkSession, root: str) -> bool:
+    """Whether metadata of any part is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/measurements/parts")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def add_pairs(root: str, truth: DataFrame, sweep: DataFrame, metas: DataFrame, have: tuple[DataFrame, DataFrame, DataFrame] | None) -> None:
+    """write_pairs() of new parts beside the other parts of their windows, which the overwrite would lose."""
+    new = [truth, sweep, metas]
+    if have:
+        fresh = metas.select("part_ulid", "window_start")
+        windows = fresh.select("window_start").distinct()
+        for i, old in enumerate(have):
+            beside = old.join(windows, "window_start", "left_semi").join(fresh.select("part_ulid"), "part_ulid", "left_anti")
+            new[i] = _settled(new[i].select(*old.columns).unionByName(beside), f"{root}/measurements/.new/{i}")
+    write_pairs(root, *new)
+
+
+def _settled(df: DataFrame, path: str) -> DataFrame:
+    """`df` written to `path` and read back: what it reads may be overwritten then."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_pairs(spark: SparkSession, root: str, windows: list[int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(truth, sweep, parts) with explicit schemas; `windows` prunes partitions."""
     out = []
