@@ -10,7 +10,7 @@ pairs of chunks, so that no task grows with a group.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -154,8 +154,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def similar_components(marked: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of the keys `k` whose texts are linked: `marked` has (k, m), `texts` a row (k, t) of each."""
+def similar_components(marked: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of the keys `k` whose texts are linked: `marked` has (k, m); texts_of adds each key's text `t` to rows (k, places)."""
     rows = marked.select("k", F.explode("m").alias("x"))
     shared = stored(rows.groupBy("x").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least <> most").select("x", "least"))
     met = stored(rows.join(shared, "x").select("x", "k", "least").distinct())
@@ -172,7 +172,7 @@ def similar_components(marked: DataFrame, texts: DataFrame) -> DataFrame:
         pairs = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda c: place(F.col("x"), F.least(mine, c) * (1 << 20) + F.greatest(mine, c), mine))
         places = places.union(divided.join(small_or_shuffled(counts, 24), "x", "left").select("k", F.explode(pairs).alias("p")))
     wanted = stored(places.groupBy("k").agg(F.collect_list("p").alias("places")))
-    full = stored(texts.join(wanted, "k").select("k", "t", "places").mapInArrow(_sets, "k long, f long, s binary, places array<struct<shard:long,pair:long,part:int>>"))
+    full = stored(texts_of(wanted).select("k", "t", "places").mapInArrow(_sets, "k long, f long, s binary, places array<struct<shard:long,pair:long,part:int>>"))
     dealt = full.select("k", "f", "s", F.explode("places").alias("p")).repartition("p.shard", "p.pair").sortWithinPartitions("p.shard", "p.pair", "k")
     links = stored(dealt.select("p.shard", "p.pair", "p.part", "k", "f", "s").mapInArrow(_verified, "u long, v long"))
     drop_stored(full)
@@ -194,10 +194,15 @@ def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__h").alias("h"))
     classes = stored(marked.groupBy("k").agg(F.min(order).alias("r")))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    firsts = classes.select("k", F.col("r.id").alias("i"), F.col("r.h").alias("h"))
     several = _repeats(marked)
-    texts = plain.join(firsts, same("__id", "i") & (F.col("__h") == F.col("h"))).select("k", "t")
-    roots = similar_components(marked.select("k", "m"), texts.dropDuplicates(["k"]) if several else texts)
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """Candidates alone meet the texts, which so are shuffled once at most."""
+        rows = stored(wanted.join(classes, "k").select("k", "places", F.col("r.id").alias("i"), F.col("r.h").alias("h")))
+        found = plain.join(small_or_shuffled(rows, 64, per_item=("places", 24)), same("__id", "i") & (F.col("__h") == F.col("h"))).select("k", "t", "places")
+        return found.dropDuplicates(["k"]) if several else found
+
+    roots = similar_components(marked.select("k", "m"), texts_of)
     named = stored(classes.join(roots, F.col("k") == F.col("node"), "left").select("k", "r", F.coalesce("root", "k").alias("root")))
     least = named.groupBy("root").agg(F.min("r").alias("r"))
     keep = named.select("k", "root").join(least, "root").select("k", "r")
