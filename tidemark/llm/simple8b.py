@@ -196,7 +196,7 @@ def _encode_part(path: str):
             data = write_chunk(docs, each, ids)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "chunk": pa.array([chunk], pa.int64()), "before": pa.array([before], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "data": pa.array([data], pa.binary())})
 
-        for (names,), ids, each in encoded(encoder(path), batches, 1, [0], CHUNK_IDS):
+        for (names,), ids, each in encoded(encoder(path), batches, 1, [0]):
             docs += names
             parts.append(ids)
             counts.append(each)
@@ -216,7 +216,7 @@ def write_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     One exchange by id range carries the texts; ties of the id are ordered by the
     text's hash, and rows equal in both can be split by the input partition they
     come from, which is the same if a task runs again. Each task streams its range
-    into chunks of about CHUNK_IDS ids, held one at a time. The chunks are rows of a Parquet dataset in the shared folder, so that
+    into chunks of CHUNK_IDS ids or more, up to a batch of rows beyond, held one at a time. The chunks are rows of a Parquet dataset in the shared folder, so that
     Spark's commit keeps exactly one copy of each task's; the returned DataFrame
     reads it: part (ascending with the ids), chunk, before (ids of the part before
     it), n_ids, data. Ids are 64-bit integers; null ids come first; a null text is
