@@ -1,5 +1,6 @@
 """Every operator against brute force on small tables with nulls, empty, long, tied and repeated rows."""
 
+import functools
 import hashlib
 import random
 import re
@@ -11,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidemark.llm import bwt_dedup, decontamination, html_extract, line_dedup, near_copies, packing, quality, repeats, sharding, simhash, simple8b, suffix_tree_dedup, tokens
 from tidemark.llm.common import let
@@ -81,9 +83,13 @@ def test_simple8b_escapes_mix():
     assert (simple8b.decode(words, blocks, len(ids)) == ids).all()
 
 
+@functools.cache
+def library():
+    return Tokenizer.from_file(tokens.default_path())
+
+
 def encoded(text):
-    enc = tokens.encoder(tokens.default_path())
-    return np.array([*enc.whole.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+    return np.array([*library().encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
 def test_token_output(docs, rows, empty, spark):
@@ -110,7 +116,7 @@ def test_full_caches_still_answer(monkeypatch):
 def test_pieces_are_the_librarys(window, monkeypatch):
     monkeypatch.setattr(tokens, "WINDOW_BYTES", window)
     r = random.Random(3)
-    alphabet = [" ", " ", "\n", "a", "b", "Z", "é", "1", "9", ".", "'", "'s", "'re", "—", "\u00a0", "日", "😀", "\t", "²", "ß", "\x0b", "\x00", "I'll", " don't", "word word word "]
+    alphabet = [" ", " ", "\n", "a", "b", "Z", "é", "1", "9", ".", "'", "'s", "'re", "—", "\u00a0", "日", "😀", "\t", "²", "ß", "\x0b", "\x00", "I'll", " don't", "word word word ", "<|endoftext|>", "<|endof"]
     texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(5000)] + [None, ""]
     ids, counts = tokens.Encoder(tokens.default_path()).encode_array(pa.array(texts).slice(1))
     ends = np.cumsum(counts)

@@ -4,7 +4,8 @@ A byte-level BPE first splits a text into pieces by a fixed pattern, then each
 piece alone. The split is done here on the bytes of many texts at once, Arrow
 finds the different pieces, and the library's model encodes those that no cache
 holds. Stretches with characters whose class is not certain, and apostrophes,
-go to the library whole, from one white space to the next.
+go to the library whole, from one white space to the next. Added tokens of the
+file, such as an end mark written out in a text, are one id, as the library has it.
 """
 
 from __future__ import annotations
@@ -92,10 +93,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         told = json.loads(Path(path).read_text())
         kind = told.get("pre_tokenizer") or {}
-        self.split = told.get("normalizer") is None and kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True)
+        added = self.whole.get_added_tokens_decoder()
+        self.added = {t.content: i for i, t in added.items()}
+        self.added_re = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if added else None
+        plain = all(t.content and not (t.lstrip or t.rstrip or t.single_word) for t in added.values())
+        self.split = plain and told.get("normalizer") is None and kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True)
         self.model, self.alphabet = self.whole.model, _byte_alphabet()
         #: Texts without a HARD character.
         self.plain = regex.compile(r"[\t\n\r\x20-&\x28-\x7e\xa1-\u024f]*").fullmatch
@@ -169,6 +173,30 @@ class Encoder:
             each = [np.array(x.ids, "<u4") for x in self.whole.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
             return np.concatenate(each), np.array([len(x) for x in each])
         texts = texts.fill_null("") if texts.null_count else texts
+        if any(pc.any(pc.match_substring(texts, name)).as_py() for name in self.added):
+            return self._with_added(texts)
+        return self._without_added(texts)
+
+    def _with_added(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Texts are cut at added tokens, what lies between is encoded, and their ids are put back."""
+        between, owner, ids = [], [], []  # stretches, the text of each, and the added id after it or -1
+        for k, text in enumerate(texts.to_pylist()):
+            at = 0
+            for found in self.added_re.finditer(text):
+                between.append(text[at : found.start()])
+                ids.append(self.added[found.group()])
+                at = found.end()
+            between.append(text[at:])
+            ids.append(-1)
+            owner += [k] * (len(between) - len(owner))
+        flat, size = self._without_added(pa.array(between, pa.large_string()))
+        put = np.array(ids)
+        follows = put >= 0
+        counts = np.zeros(len(texts), np.int64)
+        np.add.at(counts, owner, size + follows)
+        return np.insert(flat, np.cumsum(size)[follows], put[follows].astype("<u4")), counts
+
+    def _without_added(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
         _, offsets, data = texts.buffers()
         off = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
